@@ -272,7 +272,7 @@ def compact_entries(spark, d):
     return _compacted(A.event_log(spark, d)).select("session_id", F.col("order").cast("long").alias("rank"), "event_id", "blob_id")
 
 
-@query(_E + """, x AS (SELECT r.session_id AS session_id, from_event_id, coalesce(c.event_id, r.target) AS target, min(pos) AS pos
+@query(_E + """, x AS (SELECT r.session_id AS session_id, from_event_id, coalesce(c.event_id, r.target) AS target, min(r.pos) AS pos
   FROM r LEFT JOIN sh ON sh.session_id = r.session_id AND sh.event_id = r.target LEFT JOIN cm c ON c.session_id = sh.session_id AND c.sub = 3
   WHERE NOT EXISTS (SELECT 1 FROM sh s2 WHERE s2.session_id = r.session_id AND s2.event_id = r.from_event_id) GROUP BY ALL)
 SELECT session_id, from_event_id, 'sourceEventIds' AS ref_name, string_agg(target, ',' ORDER BY pos) AS targets FROM x GROUP BY ALL""")
