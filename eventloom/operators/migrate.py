@@ -69,7 +69,7 @@ def blobs(events: DataFrame) -> DataFrame:
     field = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f',"{name}":'), c)).otherwise("")
     quote = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30)
     inner = lambda c: F.regexp_replace(quote(c), r"\]\z", "")
-    doc = F.concat(F.lit('{"type":'), inner(F.col("type")), field("time", F.col("time").cast("string")), field("data", F.col("data")), field("surfaceOp", inner(F.col("surface_op"))), field("sourceEventSeqs", F.to_json("source_event_seqs")), field("ignorable", F.col("ignorable").cast("string")), F.lit("}"))
+    doc = F.concat(F.lit('{"type":'), inner(F.col("type")), field("time", F.col("time").cast("string")), field("data", F.col("data")), field("surfaceOp", F.when(F.col("surface_op").isNotNull(), inner(F.col("surface_op")))), field("sourceEventSeqs", F.to_json("source_event_seqs")), field("ignorable", F.col("ignorable").cast("string")), F.lit("}"))
     return events.select("session_id", F.concat(F.lit("blob_"), F.col("seq").cast("string")).alias("blob_id"), doc.cast("binary").alias("payload"))
 
 
