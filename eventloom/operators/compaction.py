@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..plans.session_set import SessionSet
+from ..plans.session_set import SessionSet, materialize
 from . import sequence
 from .envelope import brackets, envelopes, turn_cursor
 
@@ -114,8 +114,8 @@ def envelopes_of_start(s: SessionSet, requests: DataFrame) -> DataFrame:
 
 def compact(s: SessionSet, requests: DataFrame, new_summaries: DataFrame) -> tuple[SessionSet, DataFrame]:
     """(the rewritten sessions, refusals).  Sessions with a refusal are left as they are."""
-    env = envelopes(s.entries, s.blobs)
-    refused = guards(s, requests, env)
+    env = materialize(envelopes(s.entries, s.blobs))
+    refused = materialize(guards(s, requests, env))
     requests = requests.join(refused.select("session_id").distinct(), "session_id", "left_anti")
     gone = shadow(requests)
     spans = ranges(env, gone)

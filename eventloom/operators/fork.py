@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.session_set import SessionSet
+from ..plans.session_set import SessionSet, materialize
 from . import sequence
 from .envelope import brackets, envelopes, open_stack
 
@@ -52,7 +52,7 @@ def guards(s: SessionSet, boundaries: DataFrame, env: DataFrame) -> DataFrame:
 
 def fork(s: SessionSet, boundaries: DataFrame) -> tuple[SessionSet, DataFrame]:
     """(the children, refusals) of (session_id, event_id, child_id), one fork per session and call."""
-    refused = guards(s, boundaries, envelopes(s.entries, s.blobs))
+    refused = materialize(guards(s, boundaries, materialize(envelopes(s.entries, s.blobs))))
     good = boundaries.join(refused.select("session_id").distinct(), "session_id", "left_anti")
     pre = prefix(s.entries, good)
     child = good.select("session_id", "child_id")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.codec import is_safe, valid_usage
-from ..plans.session_set import SessionSet
+from ..plans.session_set import SessionSet, materialize
 from ..schemas import FORMAT_VERSION
 from . import sequence
 from .envelope import brackets, envelopes, get, keys, turn_cursor
@@ -225,10 +225,10 @@ def commit_changes(before: SessionSet, after: SessionSet, backups: DataFrame | N
 
 
 def violations(s: SessionSet) -> DataFrame:
-    """All rules on one generation of many sessions."""
-    ranks = sequence.ranked(s.entries).select("session_id", "event_id", "rank")
-    env = envelopes(s.entries, s.blobs)
-    b = brackets(s.compacted, ranks)
+    """All rules on one generation of many sessions; payloads are parsed once and the parsed view is written for all rules."""
+    env = materialize(envelopes(s.entries, s.blobs))
+    ranks = env.select("session_id", "event_id", "rank")
+    b = materialize(brackets(s.compacted, ranks))
     claimed = s.compacted.select("session_id", F.explode(F.array("markers.start_event_id", "markers.summary_event_id", "checkpoint_event_id", "markers.end_event_id")).alias("event_id")).distinct()
     edges = env.filter(F.col("type").isin("turn/start", "turn/end", "session/end-seed"))
     parts = [

@@ -133,7 +133,10 @@ class Catalog:
             old = self.load(version)
             new, stale = change(old)
             stale = materialize(stale.distinct())
-            good = _without(new, stale)
+            # checks and the write both read the new state: it is computed once
+            good = SessionSet(**{t: materialize(f) for t, f in _without(new, stale).frames().items()})
+            if not good.sessions.limit(1).count():
+                return stale
             if strict:
                 found = validate.violations(good)
                 if again:
@@ -144,8 +147,6 @@ class Catalog:
                     raise InvalidSessions("; ".join(f"{r.session_id}: {r.rule} ({r.subject})" for r in first))
             both = _without(old, good.sessions.select("session_id"))
             merged = SessionSet(**{t: getattr(both, t).unionByName(_backed_up(old, good).sessions if t == "sessions" else getattr(good, t)) for t in TABLES})
-            if not good.sessions.limit(1).count():
-                return stale
             if self.publish(merged, version):
                 return stale
 
