@@ -172,9 +172,10 @@ def _propose(classes: DataFrame, comp: DataFrame | None, trees: int, star: bool)
         large = now.filter(F.col("size") > NODE)
         if i + 1 == len(DEPTHS) or not large.limit(1).count():
             break
+        nxt = large
         if not i:
-            paths = pin(large.select("doc_id", "comp", "t").join(rows.select("doc_id", "sig2"), "doc_id").select("doc_id", "comp", "t", *deeper), "paths")
-        live = (paths if not i else paths.join(large.select("doc_id", "t"), ["doc_id", "t"], "left_semi")).select("doc_id", "comp", "t", F.col(f"k{DEPTHS[i + 1]}").alias("key"))
+            nxt = pin(large.select("doc_id", "comp", "t").join(rows.select("doc_id", "sig2"), "doc_id").select("doc_id", "comp", "t", *deeper), "paths")
+        live = nxt.select("doc_id", "comp", "t", *(f"k{x}" for x in DEPTHS[i + 2 :]), F.col(f"k{DEPTHS[i + 1]}").alias("key"))
     nodes = closed[0]
     for x in closed[1:]:
         nodes = nodes.unionByName(x)
