@@ -29,10 +29,10 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import keyed, pin, slices
+from .common import keyed, slices
 
 #: Text bytes of a chunk.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 #: Words that a worker keeps the ids of, at most.
 CACHE_WORDS = 600_000
 _held: dict[str, WordEncoder] = {}
@@ -141,26 +141,28 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel()
 
 
-_CHUNK = "chunk long, bucket int, a binary, b binary, c binary"
+#: Rows of a chunk have keys from here on; below are buckets of words.
+_FIRST = 1 << 50
+_CHUNK = "key long, chunk long, a binary, b binary, c binary"
 
 
 def _row(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_CHUNK_PA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_CHUNK_PA = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
 
 def _chunks(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
+        chunk = _FIRST + (TaskContext.get().partitionId() << 32)
         for batch in batches:
             for part in slices(batch, limit=CHUNK_BYTES):
                 counts, idx, words = split_words(part.column(1))
                 ids = np.asarray(part.column(0), dtype=np.int64)
-                rows = [(chunk, -1, ids.tobytes(), _pack(counts), _pack(idx))]
+                rows = [(chunk, len(words), ids.tobytes(), _pack(counts), _pack(idx))]
                 text = words.to_pylist()
                 raw = [w.encode() for w in text]
                 where = np.fromiter((int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % buckets for w in raw), np.int64, len(raw))
@@ -169,7 +171,7 @@ def _chunks(buckets: int):
                 for k in range(buckets):
                     mine = order[cuts[k] : cuts[k + 1]]
                     if len(mine):
-                        rows.append((chunk, k, zstandard.compress(b"\n".join([raw[i] for i in mine.tolist()]), 1), _pack(np.diff(mine, prepend=0)), None))
+                        rows.append((k, chunk, zstandard.compress(b"\n".join([raw[i] for i in mine.tolist()]), 1), _pack(np.diff(mine, prepend=0)), None))
                 yield _row(_CHUNK_PA, rows)
                 chunk += 1
 
@@ -180,57 +182,44 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in batch.filter(pc.less(batch.column(0), _FIRST)).to_pylist():
                 ids = enc(zstandard.decompress(r["a"]).decode().split("\n"))
-                yield _row(_CHUNK_PA, [(r["chunk"], r["bucket"], zstandard.compress(b"".join(ids), 1), r["b"], _pack(np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))))])
+                yield _row(_CHUNK_PA, [(r["chunk"], r["key"], zstandard.compress(b"".join(ids), 1), r["b"], _pack(np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))))])
 
     return run
 
 
-_OUT_PA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("ids", pa.binary())])
-
-
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    """Chunks whose rows stand together, the one of bucket -1 first: (doc ids, word counts, word indexes, ids by word)."""
-    head, words = None, {}
-
-    def done():
-        a, b, c = head
-        counts, idx = _unpack(b).astype(np.int64), _unpack(c).astype(np.int64)
-        ids: list[bytes] = [b""] * (int(idx.max()) + 1 if len(idx) else 0)
-        for raw, where, lens in words:
-            flat, at = zstandard.decompress(raw), 0
-            for i, n in zip(np.cumsum(_unpack(where).view("<i4").astype(np.int64)).tolist(), _unpack(lens).tolist(), strict=True):
-                ids[i] = flat[at : at + 4 * n]
-                at += 4 * n
-        return np.frombuffer(a, np.int64), counts, idx, ids
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            if r["bucket"] < 0:
-                if head is not None:
-                    yield done()
-                head, words = (r["a"], r["b"], r["c"]), []
-            else:
-                words.append((r["a"], r["b"], r["c"]))
-    if head is not None:
-        yield done()
-
-
-def encode(docs: DataFrame, path: str, finish, schema: str) -> DataFrame:
-    """Encode whole texts; ``finish`` turns (doc ids, word counts, word indexes, ids by word, encoder) of a chunk into record batches."""
-    spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = pin(keyed(docs).mapInArrow(_chunks(buckets), _CHUNK), "words")
-    asked = rows.filter("bucket >= 0").repartition(buckets, "bucket").mapInArrow(_encode(path), _CHUNK)
-    both = rows.filter("bucket < 0").unionByName(asked).repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket")
-
-    def last(batches):
-        enc = encoder(path)
-        for ids, counts, idx, by_word in _assemble(batches):
-            yield from finish(ids, counts, idx, by_word, enc)
+def _assemble(head: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(doc ids, word counts, word indexes, ids by word) of a chunk."""
+    (h,) = head.to_pylist()
+    counts, idx = _unpack(h["b"]).astype(np.int64), _unpack(h["c"]).astype(np.int64)
+    ids: list[bytes | None] = [None] * h["chunk"]  # in a chunk's own row this holds its number of distinct words
+    for r in answers.to_pylist():
+        flat, at = zstandard.decompress(r["a"]), 0
+        for i, n in zip(np.cumsum(_unpack(r["b"]).view("<i4").astype(np.int64)).tolist(), _unpack(r["c"]).tolist(), strict=True):
+            ids[i] = flat[at : at + 4 * n]
+            at += 4 * n
+    if None in ids:
+        raise RuntimeError("a chunk lacks ids of some of its words")
+    return np.frombuffer(h["a"], np.int64), counts, idx, ids
+
+
+def encode(docs: DataFrame, path: str, finish, schema: str, arrow: pa.Schema) -> DataFrame:
+    """Encode whole texts; ``finish`` turns (doc ids, word counts, word indexes, ids by word, encoder) of a chunk into record batches.
+
+    Chunks and word lists leave the documents through one exchange, which both the
+    encoding and the join back read; the words wait there for their ids.
+    """
+    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = keyed(docs).mapInArrow(_chunks(buckets), _CHUNK).repartition(buckets, "key")
+    asked = dealt.mapInArrow(_encode(path), _CHUNK)
+
+    def last(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        if not chunk.num_rows or chunk["key"][0].as_py() < _FIRST:
+            return arrow.empty_table()
+        return pa.Table.from_batches(list(finish(*_assemble(chunk, answers), encoder(path))), schema=arrow)
 
-    return both.mapInArrow(last, schema)
+    return dealt.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(last, schema)
 
 
 _DIGEST_PA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -257,7 +246,7 @@ def _digest(doc_ids, counts, idx, by_word, enc):
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole document."""
-    return encode(docs, path or tokenizer_path(), _digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, path or tokenizer_path(), _digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", _DIGEST_PA)
 
 
 _TEXT_PA = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
@@ -272,4 +261,4 @@ def _texts(doc_ids, counts, idx, by_word, enc):
 
 def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids, decoded of each whole document."""
-    return encode(docs, path or tokenizer_path(), _texts, "doc_id long, ids array<int>, decoded string")
+    return encode(docs, path or tokenizer_path(), _texts, "doc_id long, ids array<int>, decoded string", _TEXT_PA)
