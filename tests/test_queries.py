@@ -20,7 +20,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
-@pytest.mark.parametrize("name", [n for n in queries.oracle_sql() if n != "projection_stale"])
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_query(spark, duck, name):
     df = queries.queries()[name](spark, SF)
     rel = duck.sql(queries.oracle_sql()[name])
