@@ -199,6 +199,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         if full is not None:
             ids = ids.join(full, "doc_id", "left_anti")
+        # Written first: the size of the list is then known before the join is planned, and
+        # while it is below the broadcast threshold the texts are not shuffled.
+        ids = pin(ids, "ids")
         more = pin(rows.join(ids, "doc_id", "left_semi").mapInArrow(_full, "doc_id long, shingles binary"), "full")
         full = more if full is None else full.unionByName(more)
         x, y = (full.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
