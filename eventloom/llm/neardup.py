@@ -42,6 +42,8 @@ SLOTS = 4
 NODE = 32
 DEPTHS = (1, 2, 3, 4, 8, 16, 32)
 #: Of 64 sketch values at least so many must agree: at similarity 0.75 fewer do with probability 1e-8.
+#: Nodes carry the low byte of each value only: equal values agree as before, and one in 256
+#: of the others, which the full sets then refuse.
 AGREE = 28
 
 _rng = np.random.default_rng(20)
@@ -64,7 +66,7 @@ def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> list[np.ndarray
     return out
 
 
-_SET_PA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sig", pa.list_(pa.int32()))])
+_SET_PA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sig", pa.list_(pa.int32())), ("low", pa.binary())])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +82,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig[:, j] = (np.minimum.reduceat(x, at) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             hi = np.add.reduceat(mix(flat), at) + n.astype(np.uint64)
             lo = np.add.reduceat(mix(flat ^ np.uint64(0x9E3779B97F4A7C15)), at)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TREES * SLOTS), pa.array(sig.ravel()))], schema=_SET_PA)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TREES * SLOTS), pa.array(sig.ravel())), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], schema=_SET_PA)
 
 
 _FULL_PA = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
@@ -100,6 +102,10 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR_PA)
 
 
+def _low(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, TREES * SLOTS)
+
+
 def _compare(star: bool):
     """Candidate pairs of closed nodes, whose rows (at most NODE each) stand together."""
 
@@ -132,14 +138,14 @@ def _compare(star: bool):
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
             rest = t.slice(int(cuts[-1]))
             cols = [np.asarray(t[c]) for c in ("doc_id", "comp", "n")]
-            sig = np.asarray(t["sig"].combine_chunks().flatten()).reshape(-1, TREES * SLOTS)
+            sig = _low(t)
             out = ([], [])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 node(*(c[a:b] for c in cols), sig[a:b], out)
             yield _pairs(*out)
         if rest is not None and rest.num_rows:
             out = ([], [])
-            node(*(np.asarray(rest[c]) for c in ("doc_id", "comp", "n")), np.asarray(rest["sig"].combine_chunks().flatten()).reshape(-1, TREES * SLOTS), out)
+            node(*(np.asarray(rest[c]) for c in ("doc_id", "comp", "n")), _low(rest), out)
             yield _pairs(*out)
 
     return run
@@ -180,16 +186,16 @@ def _propose(classes: DataFrame, comp: DataFrame | None, trees: int, star: bool)
     for x in closed[1:]:
         nodes = nodes.unionByName(x)
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = nodes.join(rows.select("doc_id", "comp", "n", "sig"), "doc_id").repartition(n, "key").sortWithinPartitions("key")
-    pairs = nodes.select("key", "doc_id", "comp", "n", "sig").mapInArrow(_compare(star), "a long, b long")
+    nodes = nodes.join(rows.select("doc_id", "comp", "n", "low"), "doc_id").repartition(n, "key").sortWithinPartitions("key")
+    pairs = nodes.select("key", "doc_id", "comp", "n", "low").mapInArrow(_compare(star), "a long, b long")
     return pairs, large
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's class that were needed)."""
     rows = keyed(docs)
-    sets = pin(rows.mapInArrow(_sketches, "doc_id long, n long, hi long, lo long, sig array<int>"), "sketches")
-    classes = pin(sets.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
+    sets = pin(rows.mapInArrow(_sketches, "doc_id long, n long, hi long, lo long, sig array<int>, low binary"), "sketches")
+    classes = pin(sets.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("low").alias("low")), "classes")
     full: DataFrame | None = None
     links: DataFrame | None = None
 
