@@ -12,11 +12,13 @@ Documents with equal sets are one class from the start.  The rest is a recursion
 * candidates are confirmed on full shingle sets and linked components are contracted.
 
 To keep a group of thousands of near copies linear, two trees first propose only stars
-around leaders; what they connect is never compared again.  Then all trees propose every
-pair of classes in different components.  A node that is still large at depth 32 (its
-classes agree in 32 minwise tokens) and holds several components is finished exactly:
-classes outside its main component are compared with all others of the node, ``NODE``
-of them a round, until none is left.
+around leaders, down to depth 32; what they connect is never compared again.  Then all
+trees propose every pair of classes in different components.  They stop at depth 4, as
+deeper paths would part pairs that no other tree keeps together.  A node that is still
+large there and holds several components is finished exactly: every class outside its
+main component is compared with every other of the node, block by block, on sketches and
+then on full sets.  Blocks carry the full sets, so that no pair but a link leaves them;
+the work is (classes outside the main component) x (classes of the node).
 
 Defined results: a text without words, or a null one, has the empty set and links with
 nothing; fewer than five words are one shingle; rows with a null doc_id are left out; of
@@ -40,7 +42,11 @@ PERCENT = 75
 TREES = 16
 SLOTS = 4
 NODE = 32
-DEPTHS = (1, 2, 3, 4, 8, 16, 32)
+DEPTHS = (1, 2, 3, 4)
+STAR_DEPTHS = (*DEPTHS, 8, 16, 32)
+#: A large node is finished in blocks of about so many classes, and so many shingles.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
 #: Of 64 sketch values at least so many must agree: at similarity 0.75 fewer do with probability 1e-8.
 #: Nodes carry the low byte of each value only: equal values agree as before, and one in 256
 #: of the others, which the full sets then refuse.
@@ -163,25 +169,100 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(a, b)
 
 
+def _shared(x: list[np.ndarray], y: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Numbers of common elements of x[i] and y[j], pair by pair or by matrix products, whichever is less work."""
+    sides = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(e) for e in s])) for s in (x, y)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    if not len(both):
+        return np.zeros(len(i), np.int64)
+    mean = (len(sides[0][0]) + len(sides[1][0])) / (len(x) + len(y))
+    if len(i) * (1e5 + 400 * mean) <= len(x) * len(y) * len(both):
+        return np.array([len(np.intersect1d(x[a], y[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    found = []
+    for flat, row in sides:
+        at = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        hit = both[at] == flat
+        found.append((at[hit], row[hit]))
+    total = np.zeros((len(x), len(y)), np.float32)  # exact below 2**24
+    for a in range(0, len(both), 4096):
+        some = []
+        for (at, row), m in zip(found, (len(x), len(y)), strict=True):
+            of = (at >= a) & (at < a + 4096)
+            some.append(np.zeros((m, min(4096, len(both) - a)), np.float32))
+            some[-1][row[of], at[of] - a] = 1
+        total += some[0] @ some[1].T
+    return total[i, j].astype(np.int64)
+
+
+def _finish(t: pa.Table) -> pa.Table:
+    """Links between classes outside the main component (left) and a block of their node, as few as connect the same."""
+    t = t.combine_chunks()
+    left = np.asarray(t["left"])
+    side = [np.flatnonzero(left), np.flatnonzero(~left)]
+    if not len(side[0]) or not len(side[1]):
+        return pa.Table.from_batches([_pairs([], [])])
+    doc, comp, n, rest = (np.asarray(t[c]) for c in ("doc_id", "comp", "n", "rest"))
+    x, y = side
+    near = comp[x][:, None] != comp[y][None, :]
+    near &= 100 * np.minimum(n[x][:, None], n[y]) >= PERCENT * np.maximum(n[x][:, None], n[y])
+    near &= ~rest[y] | (doc[x][:, None] < doc[y])  # two such classes meet in both roles
+    sig = np.asarray(t["sig"].combine_chunks().flatten()).reshape(-1, TREES * SLOTS)
+    agree = np.zeros(near.shape, np.uint8)
+    for tree in range(TREES):
+        path = np.ones(near.shape, bool)
+        for k in range(tree * SLOTS, tree * SLOTS + SLOTS):
+            same = sig[x, k][:, None] == sig[y, k]
+            agree += same
+            path &= same
+        if tree < t["t"][0].as_py():  # a pair is compared in the first tree that holds it together
+            near &= ~path
+    i, j = np.nonzero(near & (agree >= AGREE))
+    if not len(i):
+        return pa.Table.from_batches([_pairs([], [])])
+    ux, i = np.unique(i, return_inverse=True)
+    uy, j = np.unique(j, return_inverse=True)
+    x, y = x[ux], y[uy]
+    held = t["shingles"]
+    sets = [[np.frombuffer(held[k].as_py(), np.uint64) for k in s.tolist()] for s in (x, y)]
+    both = _shared(*sets, i, j)
+    good = 100 * both >= PERCENT * (n[x][i] + n[y][j] - both)
+    i, j = x[i[good]], y[j[good]]
+    _, one = np.unique(np.stack([comp[i], comp[j]]), axis=1, return_index=True)
+    top: dict[int, int] = {}
+    a, b = [], []
+    for u, v in zip(i[one].tolist(), j[one].tolist(), strict=True):
+        p, q = int(comp[u]), int(comp[v])
+        while p in top:
+            p = top[p]
+        while q in top:
+            q = top[q]
+        if p != q:
+            top[max(p, q)] = min(p, q)
+            a.append(int(min(doc[u], doc[v])))
+            b.append(int(max(doc[u], doc[v])))
+    return pa.Table.from_batches([_pairs(a, b)])
+
+
 def _propose(classes: DataFrame, comp: DataFrame | None, trees: int, star: bool) -> tuple[DataFrame, DataFrame]:
     """(candidate pairs of classes, rows of nodes still large at the last depth), between different components only."""
     rows = classes.withColumn("comp", F.col("doc_id")) if comp is None else classes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    depths = STAR_DEPTHS if star else DEPTHS
     rows = rows.withColumn("sig2", F.concat("sig", "sig"))
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")
     path = lambda d: F.xxhash64("t", F.lit(d), F.slice("sig2", F.col("t") * SLOTS + 1, F.lit(d)))
-    deeper = [path(d).alias(f"k{d}") for d in DEPTHS[1:]]
+    deeper = [path(d).alias(f"k{d}") for d in depths[1:]]
     live, closed, large = rows.select("doc_id", "comp", "sig2", tree).select("doc_id", "comp", "t", path(1).alias("key")), [], None
-    for i, d in enumerate(DEPTHS):
+    for i, d in enumerate(depths):
         size = live.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("key", "size")
         now = pin(live.join(size, "key"), f"level{d}")
         closed.append(now.filter(F.col("size") <= NODE).select("key", "doc_id"))
         large = now.filter(F.col("size") > NODE)
-        if i + 1 == len(DEPTHS) or not large.limit(1).count():
+        if i + 1 == len(depths) or not large.limit(1).count():
             break
         nxt = large
         if not i:
             nxt = pin(large.select("doc_id", "comp", "t").join(rows.select("doc_id", "sig2"), "doc_id").select("doc_id", "comp", "t", *deeper), "paths")
-        live = nxt.select("doc_id", "comp", "t", *(f"k{x}" for x in DEPTHS[i + 2 :]), F.col(f"k{DEPTHS[i + 1]}").alias("key"))
+        live = nxt.select("doc_id", "comp", "t", *(f"k{x}" for x in depths[i + 2 :]), F.col(f"k{depths[i + 1]}").alias("key"))
     nodes = closed[0]
     for x in closed[1:]:
         nodes = nodes.unionByName(x)
@@ -199,10 +280,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full: DataFrame | None = None
     links: DataFrame | None = None
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        nonlocal full, links
-        pairs = pin(pairs.filter("a < b").distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    def load(ids: DataFrame) -> None:
+        nonlocal full
         if full is not None:
             ids = ids.join(full, "doc_id", "left_anti")
         # Written first: the size of the list is then known before the join is planned, and
@@ -210,6 +289,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ids = pin(ids, "ids")
         more = pin(rows.join(ids, "doc_id", "left_semi").mapInArrow(_full, "doc_id long, shingles binary"), "full")
         full = more if full is None else full.unionByName(more)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        nonlocal links
+        pairs = pin(pairs.filter("a < b").distinct(), "pairs")
+        load(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         x, y = (full.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
         good = pin(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "links")
         links = good if links is None else links.unionByName(good)
@@ -220,21 +304,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = confirm(pairs.unionByName(large.join(lead, "key").select("a", F.col("doc_id").alias("b"))))
     pairs, large = _propose(classes, comp, TREES, False)
     comp = confirm(pairs)
-    done: DataFrame | None = None
-    while large.limit(1).count():
-        now = large.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-        main = now.groupBy("key", "comp").count().groupBy("key").agg(F.max_by("comp", "count").alias("main"))
-        rest = now.join(main, "key").filter("comp <> main").select("key", "doc_id")
-        if done is not None:
-            rest = rest.join(done, ["key", "doc_id"], "left_anti")
-        least = rest.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("doc_id")), 1, NODE).alias("some"))
-        some = pin(least.select("key", F.explode("some").alias("a")), "rest")
-        if not some.limit(1).count():
-            break
-        own = some.join(now.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("c")), ["key", "a"])
-        comp = confirm(own.join(now, "key").filter("c <> comp").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")))
-        mine = some.withColumnRenamed("a", "doc_id")
-        done = mine if done is None else done.unionByName(mine)
+    if large.limit(1).count():
+        now = large.select("key", "t", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        now = pin(now.join(classes.select("doc_id", "n"), "doc_id"), "large")
+        main = now.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max(F.struct("c", "comp", "s")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s")).filter("c > m.c")
+        blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+        main = main.select("key", "main", blocks(F.col("c"), F.col("s")).alias("nb"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("nr"))
+        now = pin(now.join(main, "key").withColumn("rest", F.col("comp") != F.col("main")), "rest")
+        load(now.select("doc_id").distinct())
+        b, r = (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.col(k)).cast("int") for k in ("nb", "nr"))
+        as_right = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda x: F.struct(F.lit(False).alias("left"), x.alias("r"), b.alias("b")))
+        as_left = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.lit(True).alias("left"), r.alias("r"), x.alias("b")))
+        roles = F.explode(F.when(F.col("rest"), F.concat(as_right, as_left)).otherwise(as_right)).alias("role")
+        now = now.select("key", "t", "doc_id", "comp", "n", "rest", roles).select("key", "t", "doc_id", "comp", "n", "rest", "role.*")
+        now = now.join(classes.select("doc_id", "sig"), "doc_id").join(full, "doc_id")
+        good = pin(now.groupBy("key", "r", "b").applyInArrow(_finish, "a long, b long"), "links")
+        links = links.unionByName(good)
+        comp = components(links)
     degree = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
     of = classes.select("hi", "lo", "n", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(degree, "doc_id", "left")
     of = of.select("hi", "lo", "n", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -154,6 +154,16 @@ def test_near_duplicates_of_a_large_group(spark):
     check_components(got(neardup.near_duplicates(frame(spark, texts, False))), texts)
 
 
+def test_near_duplicates_planted_in_a_template_group(spark):
+    """All of a large group are just below the threshold (148 of 200 shingles), planted pairs just above (151 of 197)."""
+    core = [f"c{i}" for i in range(152)]
+    texts = {k: " ".join(core + [f"p{k // 2}_{i}" for i in range(3)] + [f"u{k}_{i}" for i in range(23)]) for k in range(240)}
+    texts |= {k: " ".join(core + [f"u{k}_{i}" for i in range(26)]) for k in range(240, 400)}
+    out = got(neardup.near_duplicates(frame(spark, texts, False)))
+    check_components(out, texts)
+    assert sum(not r.kept for r in out.values()) == 120
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     out = {r.node: r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
