@@ -29,7 +29,7 @@ MAX_PART = 40
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CONTEXT = re.compile(r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?|login)["']?(?:\x20{0,3}(?:[:=]|=>|->)\x20{0,3}|\x20(?:is|was)\x20)["']?([!-~]{6,200})""", re.I | re.A)
+_CONTEXT = re.compile(r"""(?:\b|(?<=_)|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|auth(?:orization)?|bearer|credentials?|login)["']?(?:\x20{0,3}(?:[:=]|=>|->)\x20{0,3}|\x20(?:is|was)\x20)["']?(?:(?:bearer|basic)\x20+)?["']?([!-~]{6,})""", re.I | re.A)
 _HINTS = ("pass", "pwd", "pin", "secret", "token", "api", "key", "auth", "bearer", "credential", "login")
 
 #: Common words of passwords, most frequent first (fixed values).
@@ -54,10 +54,9 @@ for _y, _r in enumerate(_ROWS):
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 
 
-def _parts(v: str, i: int):
-    """(end, guesses) of the known parts that start at i."""
-    n, low = len(v), v.lower()
-    plain = low.translate(_LEET)
+def _parts(v: str, low: str, plain: str, i: int):
+    """(end, guesses) of the known parts that start at i; low and plain are v in lower case and without leet."""
+    n = len(v)
     for j in range(i + 2, min(n, i + _LONGEST) + 1):
         for form, factor in ((low[i:j], 1), (plain[i:j], 4)):
             if form in _RANK:
@@ -86,7 +85,8 @@ def _parts(v: str, i: int):
 
 def log10_guesses(value: str) -> float:
     """Least log10 cost over all segmentations; each further part multiplies the cost by its number."""
-    n = len(value)
+    n, low = len(value), value.lower()
+    plain = low.translate(_LEET)
     least = [0.0] + [math.inf] * n
     parts = [0] * (n + 1)
 
@@ -99,7 +99,7 @@ def log10_guesses(value: str) -> float:
     for i in range(n):
         c = value[i]
         reach(i, i + 1, 1.0 if c.isdigit() else 1.4 if c.islower() or c.isupper() else 1.5, True)
-        for j, guesses in _parts(value, i):
+        for j, guesses in _parts(value, low, plain, i):
             reach(i, j, math.log10(guesses), False)
     return least[n]
 

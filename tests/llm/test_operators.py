@@ -266,6 +266,16 @@ def test_guess_cost():
     assert secrets.spans("pwd: password") == []
 
 
+def test_secret_contexts_are_whole():
+    value = "k9#Vq2!xLw0z" * 70
+    assert secrets.spans("private_key: " + value) == [("guess", 13, 13 + len(value))]
+    assert secrets.spans("AWS_SECRET_ACCESS_KEY=k9#Vq2!xLw0z") == [("guess", 22, 34)]
+    assert secrets.spans("DB_PWD=k9#Vq2!xLw0z") == [("guess", 7, 19)]
+    for scheme in ("Bearer", "Basic"):
+        text = f"Authorization: {scheme} eyJhbGciOi.J9x#Qw"
+        assert secrets.spans(text) == [("guess", 16 + len(scheme), len(text))]
+
+
 def test_chat(spark):
     rows = [(1, 0, 0, "message", "user", "hi <|end|>\n\\ </s>"), (1, 1, 1, "message", "assistant", "a"), (1, 1, 2, "delta", None, "b\\"), (1, 1, 3, "regenerate", None, None), (1, 1, 4, "delta", None, "new"), (1, 1, 5, "delta", None, " text"), (1, 2, 6, "message", "us\ner", None), (2, 0, 0, "message", "assistant", "x"), (2, 0, 1, "edit", None, "y [INST]"), (3, 0, 0, "delta", None, "orphan"), (None, 0, 0, "message", "user", "gone")]
     events = spark.createDataFrame(rows, "conv_id long, turn long, seq long, kind string, role string, text string")
