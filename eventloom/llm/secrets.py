@@ -2,7 +2,8 @@
 
 A value that follows a credential word (also one that the patterns do not know) is cut
 into words, dates, repeats, sequences, keyboard walks and brute-force runs so that the
-product of the parts' guess counts, with a factor for the number of parts, is least.
+product of the parts' guess counts, with a factor for the number of parts, is least;
+repeats, sequences and walks are taken as far as they reach from their start.
 Values that cost ``MIN_LOG10`` or more to guess become spans of kind ``guess``.
 
 Defined results: a null text is empty and has no spans; rows with a null doc_id are left
@@ -24,7 +25,6 @@ from .common import keyed
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 10.0
-MAX_PART = 40
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -54,54 +54,74 @@ for _y, _r in enumerate(_ROWS):
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 
 
-def _parts(v: str, low: str, plain: str, i: int):
-    """(end, guesses) of the known parts that start at i; low and plain are v in lower case and without leet."""
+def _extents(v: str, low: str) -> tuple[list[list[int]], list[int], list[int], list[int]]:
+    """By start: how far characters equal those 1 to 4 later, ends of walks, ends of sequences; and keys outside the top letter row before."""
     n = len(v)
+    equal = [[0] * (n + 1) for _ in range(4)]
+    walk, seq, outer = [n] * (n + 1), [n] * (n + 1), [0] * (n + 1)
+    for i in range(n - 2, -1, -1):
+        for size in range(1, 5):
+            if i + size < n and v[i] == v[i + size]:
+                equal[size - 1][i] = equal[size - 1][i + 1] + 1
+        walk[i] = walk[i + 1] if low[i + 1 : i + 2] in _NEXT.get(low[i], ()) else i + 1
+        step = ord(v[i + 1]) - ord(v[i])
+        seq[i] = seq[i + 1] if i + 2 < n and ord(v[i + 2]) - ord(v[i + 1]) == step else i + 2
+    for i in range(n):
+        outer[i + 1] = outer[i] + (low[i] not in _ROWS[1])
+    return equal, walk, seq, outer
+
+
+def _parts(v: str, low: str, plain: str, ext: tuple, i: int):
+    """(end, log10 of guesses) of the known parts that start at i; low and plain are v in lower case and without leet."""
+    n, (equal, walk, seq, outer) = len(v), ext
     for j in range(i + 2, min(n, i + _LONGEST) + 1):
         for form, factor in ((low[i:j], 1), (plain[i:j], 4)):
             if form in _RANK:
-                yield j, _RANK[form] * factor * (1 if v[i:j] == low[i:j] else 2 if v[i:j].istitle() or v[i:j].isupper() else 2 ** (j - i))
+                yield j, math.log10(_RANK[form] * factor * (1 if v[i:j] == low[i:j] else 2 if v[i:j].istitle() or v[i:j].isupper() else 2 ** (j - i)))
                 break
     if m := _DATE.match(v, i):
-        yield m.end(), 365 * 120 * (4 if re.search(r"[-/.]", m[0]) else 1) if m.end() - i > 4 else 120
+        yield m.end(), math.log10(365 * 120 * (4 if re.search(r"[-/.]", m[0]) else 1) if m.end() - i > 4 else 120)
     for size in range(1, 5):
-        unit, j = v[i : i + size], i + size
-        while v[j : j + size] == unit and j + size <= n and j - i < MAX_PART:
-            j += size
-        if j > i + size:
-            yield j, 12.0**size * ((j - i) // size)
-    j = i + 1
-    while j < n and j - i < MAX_PART and low[j] in _NEXT.get(low[j - 1], ()):
-        j += 1
-    if j - i >= 3:
-        yield j, 47 * 4.6 * (j - i) * 2 ** sum(low[k] not in _ROWS[1] for k in range(i, j))
-    if i + 2 < n and (step := ord(v[i + 1]) - ord(v[i])) in (1, -1):
-        j = i + 2
-        while j < n and j - i < MAX_PART and ord(v[j]) - ord(v[j - 1]) == step:
-            j += 1
-        if j - i >= 3:
-            yield j, 20.0 * (j - i)
-
-
-def log10_guesses(value: str) -> float:
-    """Least log10 cost over all segmentations; each further part multiplies the cost by its number."""
-    n, low = len(value), value.lower()
-    plain = low.translate(_LEET)
-    least = [0.0] + [math.inf] * n
-    parts = [0] * (n + 1)
+        if more := equal[size - 1][i] // size:
+            yield i + (more + 1) * size, size * math.log10(12) + math.log10(more + 1)
+    if (j := walk[i]) - i >= 3:
+        yield j, math.log10(47 * 4.6 * (j - i)) + (outer[j] - outer[i]) * math.log10(2)
+    if i + 2 < n and ord(v[i + 1]) - ord(v[i]) in (1, -1) and (j := seq[i]) - i >= 3:
+        yield j, math.log10(20.0 * (j - i))
 
-    def reach(i: int, j: int, cost: float, brute: bool):
-        k = parts[i] + 1
-        total = least[i] + cost + (math.log10(k) if not brute or k < 2 else 0)
-        if total < least[j]:
-            least[j], parts[j] = total, k if not brute or i == 0 else parts[i]
 
-    for i in range(n):
-        c = value[i]
-        reach(i, i + 1, 1.0 if c.isdigit() else 1.4 if c.islower() or c.isupper() else 1.5, True)
-        for j, guesses in _parts(value, low, plain, i):
-            reach(i, j, math.log10(guesses), False)
-    return least[n]
+def log10_guesses(value: str, enough: float = math.inf) -> float:
+    """Least log10 cost over all segmentations into such parts; each further part multiplies the cost by its number.
+
+    Places keep the least cost for each number of parts, unless fewer parts cost no more.
+    A cost of ``enough`` or more may be given as infinite.
+    """
+    n, low = len(value), value.lower()
+    if len(low) != n:  # some letters are two in lower case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain = low.translate(_LEET)
+    ext = _extents(value, low)
+    states: list[dict[int, float]] = [{0: 0.0}] + [{} for _ in range(n)]
+    for i, c in enumerate(value):
+        front, best = [], math.inf
+        for k, have in sorted(states[i].items()):
+            if have < best:
+                best = have
+                front.append((k, have))
+        if i:
+            states[i] = {}
+        if not front:
+            continue
+        steps = [(i + 1, 1.0 if c.isdigit() else 1.4 if c.islower() or c.isupper() else 1.5, True)]
+        steps += [(j, cost, False) for j, cost in _parts(value, low, plain, ext, i)]
+        for j, cost, brute in steps:
+            to = states[j]
+            for k, have in front:
+                k2 = k if brute and i else k + 1
+                total = have + cost + (0.0 if brute else math.log10(k2))
+                if total < enough and total < to.get(k2, math.inf):
+                    to[k2] = total
+    return min(states[n].values(), default=math.inf)
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
@@ -117,7 +137,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         for m in _CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?\"')]}>")
             a, b = m.start(1), m.start(1) + len(value)
-            if b - a >= 6 and not any(x < b and a < y for x, y in base) and log10_guesses(value) >= MIN_LOG10:
+            if b - a >= 6 and not any(x < b and a < y for x, y in base) and log10_guesses(value, MIN_LOG10) >= MIN_LOG10:
                 out.append(("guess", a, b))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 

@@ -276,6 +276,29 @@ def test_secret_contexts_are_whole():
         assert secrets.spans(text) == [("guess", 16 + len(scheme), len(text))]
 
 
+@pytest.mark.parametrize("value", ["=" * 121, "*" * 500, "xy" * 300, "qwertyuiopoiuytrew" * 10])
+def test_long_trivial_values(value):
+    assert secrets.log10_guesses(value) < 10
+    assert secrets.spans("login: " + value) == []
+
+
+def test_guess_cost_keeps_states_per_number_of_parts():
+    rng = np.random.default_rng(4)
+    values = ["".join(rng.choice(list("pasword12qe"), 11)) + "love" + "pin" * 2 for _ in range(30)] + ["19871987test123123abcx1987x", "thelove12321password", "testuser1987aaab", "passpasswordkeykey"]
+    for v in values:
+        low = v.lower()
+        ext, plain = secrets._extents(v, low), low.translate(secrets._LEET)
+        best = {(0, 0): 0.0}
+        for i, c in enumerate(v):
+            for (at, k), have in list(best.items()):
+                if at == i:
+                    steps = [(i + 1, 1.0 if c.isdigit() else 1.4, k if i else 1)]
+                    steps += [(j, g + np.log10(k + 1), k + 1) for j, g in secrets._parts(v, low, plain, ext, i)]
+                    for j, g, k2 in steps:
+                        best[j, k2] = min(best.get((j, k2), np.inf), have + g)
+        assert secrets.log10_guesses(v) == pytest.approx(min(x for (at, _), x in best.items() if at == len(v)))
+
+
 def test_chat(spark):
     rows = [(1, 0, 0, "message", "user", "hi <|end|>\n\\ </s>"), (1, 1, 1, "message", "assistant", "a"), (1, 1, 2, "delta", None, "b\\"), (1, 1, 3, "regenerate", None, None), (1, 1, 4, "delta", None, "new"), (1, 1, 5, "delta", None, " text"), (1, 2, 6, "message", "us\ner", None), (2, 0, 0, "message", "assistant", "x"), (2, 0, 1, "edit", None, "y [INST]"), (3, 0, 0, "delta", None, "orphan"), (None, 0, 0, "message", "user", "gone")]
     events = spark.createDataFrame(rows, "conv_id long, turn long, seq long, kind string, role string, text string")
