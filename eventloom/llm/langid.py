@@ -3,8 +3,8 @@
 Features are 1- to 3-grams of the lower-cased text, hashed to ``DIM`` places, with
 weight log(1 + count) * idf and unit length.  Document frequencies come from every
 training document (one distributed pass); weights are fitted by follow-the-regularised-
-leader with an elastic net on a bounded sample of ``SAMPLE`` labelled documents, alike
-for every language and chosen by a hash of doc_id, and a temperature is then fitted on
+leader with an elastic net on a sample of ``SAMPLE`` labelled documents, or ``LEAST`` a
+language if those are more, alike for every language and chosen by a hash of doc_id, and a temperature is then fitted on
 a part of the sample that the weights never saw.  Whole texts are used throughout.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; without any
@@ -20,16 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import slices
 
 DIM = 1 << 14
-#: Labelled documents that the weights are fitted on, at most (and at most so many languages).
+#: Labelled documents that the weights are fitted on, about, and of each language at least, if it has them.
 SAMPLE = 4000
-LANGUAGES = 200
+LEAST = 10
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -84,6 +84,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, alpha:
     z, n = np.zeros_like(m.weights), np.zeros_like(m.weights)
     data = [(np.append(w, DIM), np.append(m.vector(w, c), 1.0), of[y]) for w, c, y in rows]
     train, held = [d for i, d in enumerate(data) if i % 5], data[::5]
+    known = {y for *_, y in train}
+    train += [d for d in held if d[2] not in known]  # languages with calibration rows only
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(train)).tolist():
@@ -138,7 +140,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame) -> Model | None:
     """A model from rows (doc_id, text, lang); rows without text or lang are passed over."""
     rows = labelled.filter("text is not null and lang is not null")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     # df over all training documents: at most DIM + 1 sums reach the driver
@@ -147,13 +149,12 @@ def train(labelled: DataFrame) -> Model | None:
     for place, n in sums:
         df[place] = n
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1
-    each = max(1, SAMPLE // len(counts))
-    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
-    some = None
-    for lang, n in counts.items():  # a rate of 1.5 of what is wanted, then the least hashes of those
-        bound = min(2**63 - 1, int(min(1.0, 1.5 * (each + 50) / n) * 2**64) - 2**63)
-        one = hashed.filter((F.col("lang") == lang) & (F.col("h") <= bound)).orderBy("h", "doc_id").limit(each)
-        some = one if some is None else some.unionByName(one)
+    each = max(LEAST, SAMPLE // len(counts))
+    # a rate of 1.5 of what is wanted, then the least hashes of those
+    bounds = [(lang, min(2**63 - 1, int(min(1.0, 1.5 * (each + 50) / n) * 2**64) - 2**63)) for lang, n in counts.items()]
+    bounds = rows.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    some = rows.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(bounds), "lang").filter("h <= bound")
+    some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("at") <= each)
     got = some.select("doc_id", "text", "lang", "h").mapInArrow(_sampled, "lang string, h long, places binary, counts binary").orderBy("h").collect()
     return fit([(np.frombuffer(r.places, "<i4").astype(np.int64), np.frombuffer(r.counts, "<i4").astype(np.int64), r.lang) for r in got], idf)
 

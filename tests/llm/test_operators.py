@@ -243,6 +243,14 @@ def test_language(spark):
     assert langid.identify(blank).first().lang_pred == "und"
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(6)
+    word = lambda x: "".join(chr(0x4E00 + 20 * x + k) for k in rng.integers(0, 20, 4))
+    rows = [(i, " ".join(word(i % 210) for _ in range(20)), f"l{i % 210:03}") for i in range(210 * 6)] + [(9000, word(210), "rare")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == [f"l{x:03}" for x in range(210)] + ["rare"]
+
+
 def test_secrets(spark, texts):
     out = got(secrets.digests(frame(spark, texts)))
     for k, t in texts.items():
