@@ -29,12 +29,12 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import keyed, slices
+from .common import arrow, keyed, slices, trim
 
 #: Text bytes of a chunk.
 CHUNK_BYTES = 10 << 20
 #: Words that a worker keeps the ids of, at most.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 _held: dict[str, WordEncoder] = {}
 
 
@@ -185,6 +185,7 @@ def _encode(path: str):
             for r in batch.filter(pc.less(batch.column(0), _FIRST)).to_pylist():
                 ids = enc(zstandard.decompress(r["a"]).decode().split("\n"))
                 yield _row(_CHUNK_PA, [(r["chunk"], r["key"], zstandard.compress(b"".join(ids), 1), r["b"], _pack(np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))))])
+        enc.ids.clear()  # other tasks have other words
 
     return run
 
@@ -204,20 +205,22 @@ def _assemble(head: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(h["a"], np.int64), counts, idx, ids
 
 
-def encode(docs: DataFrame, path: str, finish, schema: str, arrow: pa.Schema) -> DataFrame:
+def encode(docs: DataFrame, path: str, finish, schema: str, out: pa.Schema) -> DataFrame:
     """Encode whole texts; ``finish`` turns (doc ids, word counts, word indexes, ids by word, encoder) of a chunk into record batches.
 
     Chunks and word lists leave the documents through one exchange, which both the
     encoding and the join back read; the words wait there for their ids.
     """
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = keyed(docs).mapInArrow(_chunks(buckets), _CHUNK).repartition(buckets, "key")
-    asked = dealt.mapInArrow(_encode(path), _CHUNK)
+    dealt = arrow(keyed(docs), _chunks(buckets), _CHUNK).repartition(buckets, "key")
+    asked = arrow(dealt, _encode(path), _CHUNK)
 
     def last(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         if not chunk.num_rows or chunk["key"][0].as_py() < _FIRST:
-            return arrow.empty_table()
-        return pa.Table.from_batches(list(finish(*_assemble(chunk, answers), encoder(path))), schema=arrow)
+            return out.empty_table()
+        done = pa.Table.from_batches(list(finish(*_assemble(chunk, answers), encoder(path))), schema=out)
+        trim()
+        return done
 
     return dealt.groupBy("key").cogroup(asked.groupBy("key")).applyInArrow(last, schema)
 

@@ -111,7 +111,7 @@ def format_events(events: DataFrame) -> DataFrame:
     n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = events.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), "kind", "role", "text").filter("conv_id is not null")
     rows = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "seq", "role", "text")
-    return rows.select("conv_id", "turn", "kind", "role", "text").mapInArrow(_fold, "conv_id long, ord long, formatted string, loss_start long, loss_end long")
+    return arrow(rows.select("conv_id", "turn", "kind", "role", "text"), _fold, "conv_id long, ord long, formatted string, loss_start long, loss_end long")
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
@@ -156,4 +156,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(events: DataFrame) -> DataFrame:
-    return format_events(events).mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return arrow(format_events(events), _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

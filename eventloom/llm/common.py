@@ -14,34 +14,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker; bounds its memory.
-SLICE_BYTES = 2 << 20
-_made: list[tuple[SparkSession, str]] = []
+SLICE_BYTES = 1 << 20
+#: Folders of the scratch tables that ``Scratch`` objects now in force own.
+_owners: list[Scratch] = []
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share.
+class Scratch:
+    """Owns the scratch tables made while it is in force (``with``); ``free`` deletes them, and them only.
 
-    Only where neither that setting nor a checkpoint folder exists (tests on one
-    machine) a temporary folder is made and set.
+    Tables made outside of any stay in the folder of the cluster, whose owner clears it.
     """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        _owners.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _owners.remove(self)
+
+    def free(self) -> None:
+        while self.paths:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; a temporary folder only for a local master without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="eventloom-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/eventloom-{uuid.uuid4().hex[:12]}-{name}"
-    _made.append((spark, path))
-    return path
+    return base.rstrip("/")
 
 
-def release() -> None:
-    """Delete the scratch tables made so far; only for when no frame reads them any more."""
-    while _made:
-        spark, path = _made.pop()
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    path = f"{shared_folder(spark)}/eventloom-{uuid.uuid4().hex[:12]}-{name}"
+    if _owners:
+        _owners[-1].paths.append(path)
+    return path
 
 
 def pin(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +76,32 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def tidy(run):
+    """A function over record batches that gives memory back to the system when its task ends, as workers live on."""
+
+    def tidied(*batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(*batches)
+        trim()
+
+    return tidied
+
+
+def trim() -> None:
+    import ctypes
+    import gc
+
+    _powers.clear()
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` of a tidy function."""
+    return df.mapInArrow(tidy(run), schema)
+
+
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The (key, text) columns with one row per non-null key.
 
@@ -172,25 +218,65 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 # -- connected components ----------------------------------------------------------
+#: Edges that a task contracts at once.
+_CHUNK_EDGES = 1 << 20
+_EDGE_PA = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("own", pa.bool_())])
+_EDGE = "u long, v long, own boolean"
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node that each reaches) of a list of edges."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(nodes))
+    while len(a):
+        x, y = low[a], low[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(nxt := low[low], low):
+            low = nxt
+    return nodes, nodes[low]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task as stars; ``own`` marks nodes that are a ``u`` of the task.  Where rows are sorted, a chunk ends where ``u`` changes."""
+
+    def done(u, v):
+        nodes, low = forest(u, v)
+        moved = nodes != low
+        nodes, low = nodes[moved], low[moved]
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(low), pa.array(np.isin(nodes, u))], schema=_EDGE_PA)
+
+    u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        u, v = (np.concatenate([x, np.asarray(batch.column(i), dtype=np.int64)]) for i, x in enumerate((u, v)))
+        if len(u) >= 4 * _CHUNK_EDGES and len(new := np.flatnonzero(np.diff(u))):
+            cut = int(new[-1]) + 1
+            yield done(u[:cut], v[:cut])
+            u, v = u[cut:], v[cut:]
+    if len(u):
+        yield done(u, v)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for each node of an undirected edge list (a, b): comp is the least node that it reaches.
 
-    Alternates large-star and small-star steps; every round is written to the shared
-    folder.  Minima are aggregated before the shuffle and the joins back are plain
-    equi-joins that adaptive execution may split, so a hub with many edges is no single task.
+    Tasks of about ``_CHUNK_EDGES`` edges contract what they read to stars; a list that fits
+    one of them is done.  Else rounds follow: edges meet at their greater node, where a task
+    links all roots that a node was given, and each root is replaced by its own root through
+    a join.  A node has at most one edge from every task of the round before, so no hub
+    gathers its neighbours in one task; the join on roots is an equi-join that adaptive
+    execution may split.  Rounds end when no task links two roots and no root has another.
+    Each step is written to the shared folder.
     """
-    now = pin(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "cc")
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = pin(small, "cc")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if state[0] == state[2] and state == before:
+    edges = pin(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"), "edges")
+    n = max(1, -(-edges.count() // _CHUNK_EDGES))
+    now = pin(arrow(edges.coalesce(n), _contract, _EDGE), "cc")
+    while n > 1:
+        stars = pin(arrow(now.select("u", "v").repartition(n, "u").sortWithinPartitions("u"), _contract, _EDGE), "stars")
+        roots = stars.filter("own").select(F.col("u").alias("v"), F.col("v").alias("w"))
+        now = pin(stars.join(roots, "v", "left").select("u", F.coalesce("w", "v").alias("v"), (F.col("own") & F.col("w").isNull()).alias("own")), "cc")
+        if not now.filter("not own").limit(1).count():
             break
-        before = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

@@ -92,9 +92,15 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         prints, item_windows = (fp, win) if prints is None else (prints.unionByName(fp), item_windows.unionByName(win))
         wanted = of if wanted is None else F.concat(wanted, of)
     prints, item_windows = pin(prints, "prints"), pin(item_windows, "windows")
-    found = tokens.select("doc_id", F.explode(wanted).alias("x")).select("doc_id", "x.size", "x.fp")
-    found = found.join(sized(prints, BROADCAST_ROWS), ["size", "fp"]).groupBy("doc_id").agg(F.collect_set(F.struct("size", "fp")).alias("found"))
-    near = pin(texts.join(found, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "found"), "near")
+    # one pass over the texts: fingerprints that items have, and (as size 0) the number of words
+    words_row = F.array(F.struct(F.lit(0).alias("size"), F.size("w").cast("long").alias("fp")))
+    rows = tokens.select("doc_id", F.explode(F.concat(wanted, words_row)).alias("x")).select("doc_id", "x.size", "x.fp")
+    rows = rows.join(sized(prints, BROADCAST_ROWS).withColumn("hit", F.lit(True)), ["size", "fp"], "left").filter("hit or size = 0")
+    found = pin(rows.groupBy("doc_id").agg(F.max(F.when(F.col("size") == 0, F.col("fp"))).alias("n_words"), F.collect_set(F.when(F.col("hit"), F.struct("size", "fp"))).alias("found")), "found")
+    some = found.filter("size(found) > 0").select("doc_id", "found")
+    if some.agg(F.coalesce(F.sum(F.size("found") + 1), F.lit(0))).first()[0] <= 4 * BROADCAST_ROWS:
+        some = F.broadcast(some)  # the texts then stay where they are
+    near = pin(texts.join(some, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "found"), "near")
     starts = None
     for s in sizes:
         some = near.select("doc_id", "w", F.explode(_around(F.col("w"), F.col("found"), s)).alias("start"))
@@ -102,7 +108,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         starts = some if starts is None else starts.unionByName(some)
     hits = starts.join(sized(item_windows, BROADCAST_ROWS), ["size", "window"])
     spans = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "size", "item_ids"))).alias("spans"))
-    return tokens.select("doc_id", F.size("w").cast("long").alias("n_words")).join(spans, "doc_id", "left")
+    return found.select("doc_id", "n_words").join(spans, "doc_id", "left")
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -14,24 +14,25 @@ doc_id the greatest text counts; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import slices
+from .common import arrow, slices
 
 DIM = 1 << 14
 #: Labelled documents that the weights are fitted on, about, and of each language at least, if it has them.
 SAMPLE = 4000
 LEAST = 10
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter: Unicode category L, which \p{L} is.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -144,7 +145,7 @@ def train(labelled: DataFrame) -> Model | None:
     if not counts:
         return None
     # df over all training documents: at most DIM + 1 sums reach the driver
-    sums = rows.select("doc_id", "text").mapInArrow(_frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    sums = arrow(rows.select("doc_id", "text"), _frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIM + 1)
     for place, n in sums:
         df[place] = n
@@ -155,7 +156,7 @@ def train(labelled: DataFrame) -> Model | None:
     bounds = rows.sparkSession.createDataFrame(bounds, "lang string, bound long")
     some = rows.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(bounds), "lang").filter("h <= bound")
     some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("at") <= each)
-    got = some.select("doc_id", "text", "lang", "h").mapInArrow(_sampled, "lang string, h long, places binary, counts binary").orderBy("h").collect()
+    got = arrow(some.select("doc_id", "text", "lang", "h"), _sampled, "lang string, h long, places binary, counts binary").orderBy("h").collect()
     return fit([(np.frombuffer(r.places, "<i4").astype(np.int64), np.frombuffer(r.counts, "<i4").astype(np.int64), r.lang) for r in got], idf)
 
 
@@ -163,7 +164,7 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = shared.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, batch.schema.names[1]):
                 texts = part.column(1).to_pylist()
                 pred, score = ["und"] * len(texts), [0.0] * len(texts)
                 if m is not None:
@@ -184,7 +185,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(_predict(shared), schema)
+    return arrow(docs, _predict(shared), schema)
 
 
 def _rows(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,10 @@ the longest-common-prefix interval that holds it; these are the maximal repeated
 
 A line is deleted if a run of ``min_lines`` lines over it also starts at an earlier place
 (smaller doc_id, then line).  Every later copy of a maximal repeated run of that many
-lines thus goes and the first stays.  Blank lines have no id, are kept and do not end a run.
+lines thus goes and the first stays.  In the tree of intervals those that decide are the
+outermost of at least ``min_lines`` lines: an interval inside one of them is a longer run
+whose places the outer one has judged already.  Their places are what round
+log2(``min_lines``) ranks alike.  Blank lines have no id, are kept and do not end a run.
 
 Defined results: a null text has no lines and stays null; a text without line ends is one
 line; rows with a null doc_id are left out; of rows with one doc_id the greatest text
@@ -26,25 +29,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import keyed, pin
+from .common import arrow, keyed, pin, slices
 
 MIN_LINES = 1
+#: Places of deleted lines up to which their table is broadcast; beyond, the texts are shuffled to meet it.
+BROADCAST_PLACES = 1_000_000
 _LINE_PA = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        docs, at, digests = [], [], []
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            lines = [x for x in (t or "").encode().split(b"\n") if x.strip()]
-            docs += [d] * len(lines)
-            at += range(len(lines))
-            digests += [hashlib.blake2b(x, digest_size=16).digest() for x in lines]
-        ids = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(at, pa.int32()), pa.array(ids[:, 0]), pa.array(ids[:, 1])], schema=_LINE_PA)
+        for part in slices(batch):
+            docs, counts, digests = part.column(0), [], []
+            for t in part.column(1).cast(pa.binary()).to_pylist():
+                new = [hashlib.blake2b(x, digest_size=16).digest() for x in (t or b"").split(b"\n") if x.strip()]
+                counts.append(len(new))
+                digests += new
+            n = np.array(counts, np.int64)
+            ids = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            at = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(docs, dtype=np.int64), n)), pa.array(at.astype(np.int32)), pa.array(ids[:, 0]), pa.array(ids[:, 1])], schema=_LINE_PA)
 
 
 def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -94,39 +103,57 @@ def later_copies(rounds: list[DataFrame], min_lines: int) -> DataFrame:
     return rows.join(first, keys).filter(F.struct("doc_id", "at") > F.col("first")).select("doc_id", "at")
 
 
-_OUT_PA = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+def _apply(min_lines: int, drop_emptied: bool):
+    """Rows (id, text, starts, longest, ..): the text without the lines of runs at ``starts``, n_lines, n_removed and longest_run follow the other columns."""
 
-
-def _apply(min_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_lines, removed, kept = [], [], []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                gone = {i for s in starts or () for i in range(s, s + min_lines)}
-                lines = text.split("\n") if text is not None else []
-                out, at = [], 0
-                for line in lines:
-                    blank = not line.encode().strip()
-                    if blank or at not in gone:
-                        out.append(line)
-                    at += not blank
-                n_lines.append(at)
-                removed.append(len(gone))
-                kept.append("\n".join(out) if text is not None else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=_OUT_PA)
+            for part in slices(batch, batch.schema.names[1]):
+                n_lines, removed, kept = [], [], []
+                for text, starts in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    gone = {i for s in starts or () for i in range(s, s + min_lines)}
+                    out, at = [], 0
+                    for line in text.split(b"\n") if text is not None else ():
+                        blank = not line.strip()
+                        if blank or at not in gone:
+                            out.append(line)
+                        at += not blank
+                    n_lines.append(at)
+                    removed.append(len(gone))
+                    kept.append(b"\n".join(out) if text is not None else None)
+                longest = pc.fill_null(part.column(3), 0)
+                done = [part.column(0), pa.array(kept, pa.binary()).cast(pa.string()), *(part.column(i) for i in range(4, part.num_columns)), pa.array(n_lines, pa.int64()), pa.array(removed, pa.int64()), longest]
+                done = pa.RecordBatch.from_arrays(done, names=[f"c{i}" for i in range(len(done))])
+                yield done.filter(pc.greater(done.column(len(done.schema) - 3), done.column(len(done.schema) - 2))) if drop_emptied else done
 
     return run
 
 
+def marked(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """doc_id, starts (of later copies of ``min_lines`` lines), longest (lines of the longest repeated run), for documents that have any."""
+    rounds = suffix_ranks(pin(arrow(rows, _lines, "doc_id long, at int, hi long, lo long"), "ids"))
+    longest = repeated_runs(rounds).groupBy("doc_id").agg(F.max("len").cast("long").alias("longest"))
+    gone = pin(later_copies(rounds, min_lines), "gone")
+    starts = gone.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    out = pin(longest.join(starts, "doc_id", "left").select("doc_id", "starts", "longest"), "marked")
+    return F.broadcast(out) if out.count() + gone.count() <= BROADCAST_PLACES else out
+
+
+def without_copies(docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool = False) -> DataFrame:
+    """Documents, one row per doc_id, with later copies of lines taken out of text; n_lines, n_removed and longest_run come last.
+
+    Other columns stay as they are, whatever their names.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)))
+    made = plain.join(marked(plain.select("doc_id", "text"), min_lines), "doc_id", "left").select("doc_id", "text", "starts", "longest", *plain.columns[2:])
+    schema = StructType([*plain.schema.fields, *(StructField(x, LongType()) for x in ("n_lines", "n_removed", "longest_run"))])
+    return arrow(made, _apply(min_lines, drop_emptied), schema)
+
+
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """doc_id, n_lines (non-blank), n_removed, longest_run (lines of the longest repeated run that starts in it, 0: none), kept (text)."""
-    rows = keyed(docs)
-    rounds = suffix_ranks(pin(rows.mapInArrow(_lines, "doc_id long, at int, hi long, lo long"), "ids"))
-    longest = repeated_runs(rounds).groupBy("doc_id").agg(F.max("len").cast("long").alias("longest_run"))
-    starts = later_copies(rounds, min_lines).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
-    extra = longest.join(starts, "doc_id", "full")
-    out = rows.join(extra.select("doc_id", "starts"), "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(_apply(min_lines), "doc_id long, n_lines long, n_removed long, kept string")
-    return out.join(longest, "doc_id", "left").select("doc_id", "n_lines", "n_removed", F.coalesce("longest_run", F.lit(0)).cast("long").alias("longest_run"), "kept")
+    return without_copies(keyed(docs), min_lines).select("doc_id", "n_lines", "n_removed", "longest_run", F.col("text").alias("kept"))
 
 
 def digests(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:

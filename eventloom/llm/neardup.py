@@ -6,19 +6,22 @@ Documents with equal sets are one class from the start.  The rest is a recursion
 * a tree sends every class down a path of minwise tokens, one more at each level; the
   classes on one path form a node.  A node of at most ``NODE`` classes is closed and
   compared exhaustively on sketches; a larger one is branched again;
-* ``TREES`` independent trees repeat this.  A pair of similarity s stays together to
-  depth d of a tree with probability s**d; at s = 0.75 and depth 4 sixteen trees miss
-  it with probability 0.0023, at depth 1 with 2e-10;
+* ``TREES`` independent trees, with minwise tokens of their own, repeat this.  A pair of
+  similarity s stays together to depth d of a tree with probability s**d; at s = 0.75 and
+  depth 4, the deepest, sixteen trees miss it with probability 0.0023, at depth 1 with 2e-10;
 * candidates are confirmed on full shingle sets and linked components are contracted.
 
-To keep a group of thousands of near copies linear, two trees first propose only stars
-around leaders, down to depth 32; what they connect is never compared again.  Then all
-trees propose every pair of classes in different components.  They stop at depth 4, as
-deeper paths would part pairs that no other tree keeps together.  A node that is still
-large there and holds several components is finished exactly: every class outside its
-main component is compared with every other of the node, block by block, on sketches and
-then on full sets.  Blocks carry the full sets, so that no pair but a link leaves them;
-the work is (classes outside the main component) x (classes of the node).
+Nodes of the first level that fit a task (``TASK_NODE`` classes) meet there in one
+exchange, sorted by path, and the task does the rest of the recursion; larger ones go to
+depth 4 by their path of four tokens and are counted again.
+
+To keep a group of thousands of near copies linear, ``STARS`` trees first propose only
+stars around the least class of each node of depth 4; what they connect is never compared
+again.  Then all trees propose every pair of classes in different components.  A node that
+is still large at depth 4 and holds several components is finished exactly: every class
+outside its main component is compared with every other of the node, block by block, on
+sketches and then on full sets.  Blocks carry the full sets, so that no pair but a link
+leaves them; the work is (classes outside the main component) x (classes of the node).
 
 Defined results: a text without words, or a null one, has the empty set and links with
 nothing; fewer than five words are one shingle; rows with a null doc_id are left out; of
@@ -32,18 +35,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, components, grams, keyed, mix, pin, slices
+from .common import Words, arrow, components, grams, keyed, mix, pin, sized, slices
 
 SHINGLE = 5
 PERCENT = 75
 TREES = 16
 SLOTS = 4
 NODE = 32
-DEPTHS = (1, 2, 3, 4)
-STAR_DEPTHS = (*DEPTHS, 8, 16, 32)
+#: Trees that propose stars.
+STARS = 4
+#: Classes of a node whose recursion one task does.
+TASK_NODE = 4096
+#: Ids of documents up to which a list of them is broadcast; a longer one is shuffled with the texts.
+BROADCAST_IDS = 500_000
 #: A large node is finished in blocks of about so many classes, and so many shingles.
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 20
@@ -72,7 +79,7 @@ def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> list[np.ndarray
     return out
 
 
-_SET_PA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sig", pa.list_(pa.int32())), ("low", pa.binary())])
+_SET_PA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sig", pa.binary()), ("low", pa.binary())])
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +95,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig[:, j] = (np.minimum.reduceat(x, at) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             hi = np.add.reduceat(mix(flat), at) + n.astype(np.uint64)
             lo = np.add.reduceat(mix(flat ^ np.uint64(0x9E3779B97F4A7C15)), at)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TREES * SLOTS), pa.array(sig.ravel())), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], schema=_SET_PA)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], schema=_SET_PA)
 
 
 _FULL_PA = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
@@ -108,65 +115,72 @@ def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR_PA)
 
 
-def _low(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t["low"].to_pylist()), np.uint8).reshape(-1, TREES * SLOTS)
-
-
-def _compare(star: bool):
-    """Candidate pairs of closed nodes, whose rows (at most NODE each) stand together."""
-
-    def node(doc, comp, n, sig, out):
-        order = np.argsort(doc, kind="stable")
-        doc, comp, n, sig = doc[order], comp[order], n[order], sig[order]
-        near = (sig[:, None, :] == sig[None, :, :]).sum(2) >= AGREE
-        near &= 100 * np.minimum(n[:, None], n) >= PERCENT * np.maximum(n[:, None], n)
-        near &= comp[:, None] != comp
-        i, j = np.nonzero(np.triu(near, 1))
-        if star:
-            led = {}
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                if x not in led:
-                    led.setdefault(y, x)
-            i, j = np.array(list(led.values()), int), np.array(list(led), int)
-        out[0].extend(doc[i].tolist())
-        out[1].extend(doc[j].tolist())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if rest is not None:
-                t = pa.concat_tables([rest, t])
-            t = t.combine_chunks()
-            key = np.asarray(t["key"])
-            if not len(key):
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+_FOUND_PA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("t", pa.int32())])
+
+
+def _recurse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, path, doc_id, comp, n, low, t, deep), sorted by key and path, as candidate pairs (a, b).
+
+    Members of nodes that are large at the last depth leave as (a, null, deep, t); deep names that node.
+    """
+
+    def node(t: pa.Table, out):
+        doc, comp, n = (np.asarray(t[c]) for c in ("doc_id", "comp", "n"))
+        path = _bytes(t["path"], 4 * SLOTS).view("<u4")
+        low = _bytes(t["low"], TREES * SLOTS)
+        todo = [(0, len(doc), 1)]
+        while todo:
+            a, b, depth = todo.pop()
+            if (comp[a:b] == comp[a]).all():
                 continue
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-            rest = t.slice(int(cuts[-1]))
-            cols = [np.asarray(t[c]) for c in ("doc_id", "comp", "n")]
-            sig = _low(t)
-            out = ([], [])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                node(*(c[a:b] for c in cols), sig[a:b], out)
-            yield _pairs(*out)
-        if rest is not None and rest.num_rows:
-            out = ([], [])
-            node(*(np.asarray(rest[c]) for c in ("doc_id", "comp", "n")), _low(rest), out)
-            yield _pairs(*out)
-
-    return run
+            if b - a <= NODE:
+                near = (low[a:b, None, :] == low[None, a:b, :]).sum(2) >= AGREE
+                near &= 100 * np.minimum(n[a:b, None], n[a:b]) >= PERCENT * np.maximum(n[a:b, None], n[a:b])
+                near &= comp[a:b, None] != comp[a:b]
+                i, j = np.nonzero(np.triu(near, 1))
+                out.append((np.minimum(doc[a + i], doc[a + j]), np.maximum(doc[a + i], doc[a + j]), None, 0))
+            elif depth < SLOTS:
+                cuts = [a, *(a + 1 + np.flatnonzero(path[a + 1 : b, depth] != path[a : b - 1, depth])).tolist(), b]
+                todo += [(x, y, depth + 1) for x, y in zip(cuts, cuts[1:], strict=False) if y - x > 1]
+            else:
+                out.append((doc[a:b], None, np.full(b - a, t["deep"][a].as_py()), t["t"][a].as_py()))
+
+    def found(out):
+        cols = [[], [], [], []]
+        for a, b, key, t in out:
+            for col, x, kind in zip(cols, (a, b, key, None if key is None else np.full(len(a), t)), _FOUND_PA.types, strict=True):
+                col.append(pa.nulls(len(a), kind) if x is None else pa.array(x, kind))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) if c else pa.array([], k) for c, k in zip(cols, _FOUND_PA.types, strict=True)], schema=_FOUND_PA)
+
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
+        if not t.num_rows:
+            continue
+        key = np.asarray(t["key"])
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist()]
+        rest, out = t.slice(cuts[-1]), []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            node(t.slice(a, b - a), out)
+        yield found(out)
+    if rest is not None:
+        node(rest, out := [])
+        yield found(out)
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = [], []
-        for r in batch.to_pylist():
-            x, y = np.frombuffer(r["x"], np.uint64), np.frombuffer(r["y"], np.uint64)
+        good = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):  # one pair of sets at a time is copied
+            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                a.append(r["a"])
-                b.append(r["b"])
-        yield _pairs(a, b)
+            good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], schema=_PAIR_PA)
 
 
 def _shared(x: list[np.ndarray], y: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -206,7 +220,7 @@ def _finish(t: pa.Table) -> pa.Table:
     near = comp[x][:, None] != comp[y][None, :]
     near &= 100 * np.minimum(n[x][:, None], n[y]) >= PERCENT * np.maximum(n[x][:, None], n[y])
     near &= ~rest[y] | (doc[x][:, None] < doc[y])  # two such classes meet in both roles
-    sig = np.asarray(t["sig"].combine_chunks().flatten()).reshape(-1, TREES * SLOTS)
+    sig = _bytes(t["sig"], 4 * TREES * SLOTS).view("<u4")
     agree = np.zeros(near.shape, np.uint8)
     for tree in range(TREES):
         path = np.ones(near.shape, bool)
@@ -243,86 +257,91 @@ def _finish(t: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_pairs(a, b)])
 
 
-def _propose(classes: DataFrame, comp: DataFrame | None, trees: int, star: bool) -> tuple[DataFrame, DataFrame]:
-    """(candidate pairs of classes, rows of nodes still large at the last depth), between different components only."""
-    rows = classes.withColumn("comp", F.col("doc_id")) if comp is None else classes.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    depths = STAR_DEPTHS if star else DEPTHS
-    rows = rows.withColumn("sig2", F.concat("sig", "sig"))
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")
-    path = lambda d: F.xxhash64("t", F.lit(d), F.slice("sig2", F.col("t") * SLOTS + 1, F.lit(d)))
-    deeper = [path(d).alias(f"k{d}") for d in depths[1:]]
-    live, closed, large = rows.select("doc_id", "comp", "sig2", tree).select("doc_id", "comp", "t", path(1).alias("key")), [], None
-    for i, d in enumerate(depths):
-        size = live.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("key", "size")
-        now = pin(live.join(size, "key"), f"level{d}")
-        closed.append(now.filter(F.col("size") <= NODE).select("key", "doc_id"))
-        large = now.filter(F.col("size") > NODE)
-        if i + 1 == len(depths) or not large.limit(1).count():
-            break
-        nxt = large
-        if not i:
-            nxt = pin(large.select("doc_id", "comp", "t").join(rows.select("doc_id", "sig2"), "doc_id").select("doc_id", "comp", "t", *deeper), "paths")
-        live = nxt.select("doc_id", "comp", "t", *(f"k{x}" for x in depths[i + 2 :]), F.col(f"k{depths[i + 1]}").alias("key"))
-    nodes = closed[0]
-    for x in closed[1:]:
-        nodes = nodes.unionByName(x)
+def _token_path(depth: int) -> Column:
+    """Name of the node of tree ``t`` at a depth."""
+    return F.xxhash64("t", F.lit(depth), F.substring("sig", F.col("t") * (4 * SLOTS) + 1, F.lit(4 * depth)))
+
+
+def _trees(classes: DataFrame, trees: int) -> DataFrame:
+    return classes.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+
+
+def _stars(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b): the least class of each node of depth SLOTS of the first trees with each other one."""
+    rows = _trees(classes, STARS).select(_token_path(SLOTS).alias("key"), "doc_id")
+    lead = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("a")).filter("c > 1").drop("c")
+    return rows.join(lead, "key").filter("a < doc_id").select("a", F.col("doc_id").alias("b"))
+
+
+def _mixed(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (key, comp, ..) of nodes with several components, with the size of their node."""
+    size = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select("key", "size")
+    return pin(rows.join(size, "key"), name)
+
+
+def _propose(classes: DataFrame, comp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidate pairs (a, b), members (key, t, doc_id) of nodes still large at the last depth), between different components only."""
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = nodes.join(rows.select("doc_id", "comp", "n", "low"), "doc_id").repartition(n, "key").sortWithinPartitions("key")
-    pairs = nodes.select("key", "doc_id", "comp", "n", "low").mapInArrow(_compare(star), "a long, b long")
-    return pairs, large
+    top = _mixed(_trees(classes.join(comp, "doc_id", "left"), TREES).select(_token_path(1).alias("key"), "t", "doc_id", F.coalesce("comp", "doc_id").alias("comp")), "level1")
+    nodes, large = top.filter(F.col("size") <= TASK_NODE), None
+    big = top.filter(F.col("size") > TASK_NODE)
+    if big.limit(1).count():
+        deep = _mixed(big.join(classes.select("doc_id", "sig"), "doc_id").select(_token_path(SLOTS).alias("key"), "t", "doc_id", "comp"), "deep")
+        nodes = nodes.unionByName(deep.filter(F.col("size") <= TASK_NODE))
+        large = deep.filter(F.col("size") > TASK_NODE).select("key", "t", "doc_id")
+    path = F.substring("sig", F.col("t") * (4 * SLOTS) + 1, F.lit(4 * SLOTS)).alias("path")
+    nodes = nodes.drop("size").join(classes.select("doc_id", "n", "sig", "low"), "doc_id").select("key", path, "doc_id", "comp", "n", "low", "t", _token_path(SLOTS).alias("deep"))
+    nodes = nodes.repartition(n, "key").sortWithinPartitions("key", "path")
+    found = pin(arrow(nodes, _recurse, "a long, b long, key long, t int"), "found")
+    members = found.filter("b is null").select("key", "t", F.col("a").alias("doc_id"))
+    return found.filter("b is not null").select("a", "b"), members if large is None else members.unionByName(large)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the document's class that were needed)."""
     rows = keyed(docs)
-    sets = pin(rows.mapInArrow(_sketches, "doc_id long, n long, hi long, lo long, sig array<int>, low binary"), "sketches")
+    sets = pin(arrow(rows, _sketches, "doc_id long, n long, hi long, lo long, sig binary, low binary"), "sketches")
     classes = pin(sets.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("low").alias("low")), "classes")
-    full: DataFrame | None = None
     links: DataFrame | None = None
 
-    def load(ids: DataFrame) -> None:
-        nonlocal full
-        if full is not None:
-            ids = ids.join(full, "doc_id", "left_anti")
-        # Written first: the size of the list is then known before the join is planned, and
-        # while it is below the broadcast threshold the texts are not shuffled.
-        ids = pin(ids, "ids")
-        more = pin(rows.join(ids, "doc_id", "left_semi").mapInArrow(_full, "doc_id long, shingles binary"), "full")
-        full = more if full is None else full.unionByName(more)
+    def load(ids: DataFrame, most: int) -> DataFrame:
+        """Full sets of these documents; a list of few ids is broadcast and the texts are not shuffled."""
+        ids = F.broadcast(ids) if most <= BROADCAST_IDS else ids.distinct()
+        return pin(arrow(rows.join(ids, "doc_id", "left_semi"), _full, "doc_id long, shingles binary"), "full")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        nonlocal links
-        pairs = pin(pairs.filter("a < b").distinct(), "pairs")
-        load(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+        pairs = pin(pairs.distinct(), "pairs")
+        full = load(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), 2 * pairs.count())
         x, y = (full.select(F.col("doc_id").alias(k), F.col("shingles").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        good = pin(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long"), "links")
-        links = good if links is None else links.unionByName(good)
-        return components(links)
-
-    pairs, large = _propose(classes, None, 2, True)
-    lead = large.groupBy("key").agg(F.min("doc_id").alias("a"))
-    comp = confirm(pairs.unionByName(large.join(lead, "key").select("a", F.col("doc_id").alias("b"))))
-    pairs, large = _propose(classes, comp, TREES, False)
-    comp = confirm(pairs)
+        return pin(arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), _confirm, "a long, b long"), "links")
+
+    def merged(comp: DataFrame | None, more: DataFrame) -> DataFrame:
+        """Components after some more links; earlier ones count as stars."""
+        nonlocal links
+        links = more if links is None else links.unionByName(more)
+        edges = more if comp is None else more.unionByName(comp.select(F.col("comp").alias("a"), F.col("doc_id").alias("b")))
+        return sized(components(edges).withColumnRenamed("node", "doc_id"), BROADCAST_IDS)
+
+    comp = merged(None, confirm(_stars(classes)))
+    pairs, large = _propose(classes, comp)
+    comp = merged(comp, confirm(pairs))
     if large.limit(1).count():
-        now = large.select("key", "t", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        now = large.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
         now = pin(now.join(classes.select("doc_id", "n"), "doc_id"), "large")
         main = now.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max(F.struct("c", "comp", "s")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s")).filter("c > m.c")
         blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
         main = main.select("key", "main", blocks(F.col("c"), F.col("s")).alias("nb"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("nr"))
         now = pin(now.join(main, "key").withColumn("rest", F.col("comp") != F.col("main")), "rest")
-        load(now.select("doc_id").distinct())
+        full = load(now.select("doc_id"), now.count())
         b, r = (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.col(k)).cast("int") for k in ("nb", "nr"))
         as_right = F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda x: F.struct(F.lit(False).alias("left"), x.alias("r"), b.alias("b")))
         as_left = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda x: F.struct(F.lit(True).alias("left"), r.alias("r"), x.alias("b")))
         roles = F.explode(F.when(F.col("rest"), F.concat(as_right, as_left)).otherwise(as_right)).alias("role")
         now = now.select("key", "t", "doc_id", "comp", "n", "rest", roles).select("key", "t", "doc_id", "comp", "n", "rest", "role.*")
         now = now.join(classes.select("doc_id", "sig"), "doc_id").join(full, "doc_id")
-        good = pin(now.groupBy("key", "r", "b").applyInArrow(_finish, "a long, b long"), "links")
-        links = links.unionByName(good)
-        comp = components(links)
+        comp = merged(comp, pin(now.groupBy("key", "r", "b").applyInArrow(_finish, "a long, b long"), "links"))
     degree = links.select(F.col("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("n_links"))
-    of = classes.select("hi", "lo", "n", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(degree, "doc_id", "left")
+    of = classes.select("hi", "lo", "n", "doc_id").join(comp, "doc_id", "left").join(degree, "doc_id", "left")
     of = of.select("hi", "lo", "n", F.coalesce("comp", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sets.select("doc_id", "hi", "lo", "n").join(of, ["hi", "lo", "n"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

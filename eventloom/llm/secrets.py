@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import keyed
+from .common import arrow, keyed
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_LOG10 = 10.0
@@ -167,9 +167,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return keyed(docs).mapInArrow(_digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return arrow(keyed(docs), _digest, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, kind, start, end, log10_guesses: one row per span."""
-    return keyed(docs).mapInArrow(_scan, "doc_id long, kind string, start long, end long, log10_guesses double")
+    return arrow(keyed(docs), _scan, "doc_id long, kind string, start long, end long, log10_guesses double")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, grams, keyed, pin, sliding_min, slices
+from .common import Words, arrow, grams, keyed, pin, slices, sliding_min
 
 WINDOW = 50
 GRAM = 10
@@ -115,7 +115,7 @@ def _windows(window: int):
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, spans: per document the (start, len) of window starts whose words also start a window of an earlier document."""
-    blocks = pin(rows.mapInArrow(_blocks(window, gram), _BLOCK), "blocks")
+    blocks = pin(arrow(rows, _blocks(window, gram), _BLOCK), "blocks")
     index = blocks.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("hi").alias("h1"), F.max("hi").alias("h2"), F.min("lo").alias("l1"), F.max("lo").alias("l2"))
     index = index.filter("first < last").select("anchor", "first", F.expr("h1 <> h2 or l1 <> l2").alias("several"))
     found = pin(blocks.join(index, "anchor"), "found")
@@ -123,7 +123,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     several = found.filter("several")
     contents = several.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start", "len")).alias("x"))
     wanted = contents.select("x.doc_id", "x.start", "x.len", "hi", "lo").groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "hi", "lo")).alias("blocks"))
-    windows = pin(rows.join(wanted, "doc_id").select("doc_id", "text", "blocks").mapInArrow(_windows(window), _WINDOW), "windows")
+    windows = pin(arrow(rows.join(wanted, "doc_id").select("doc_id", "text", "blocks"), _windows(window), _WINDOW), "windows")
     # Of a content the representative is its first document, so its windows carry the first document of that content.
     low = windows.groupBy("a", "b").agg(F.min("doc_id").alias("source"))
     sources = windows.join(low, ["a", "b"]).groupBy("hi", "lo").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "source"))), lambda x: x["source"]).alias("sources"))
@@ -180,7 +180,7 @@ def _factors(ids, out):
 def _run(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
     rows = keyed(docs)
     spans = repeated_windows(rows, window, min(GRAM, window))
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_parse(window, finish), schema)
+    return arrow(rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans"), _parse(window, finish), schema)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode_texts, encoder, tokenizer_path
-from .common import keyed, scratch, slices
+from .common import arrow, keyed, scratch, slices
 
 BLOCK = 512
 WIDTH_PERCENT = 90
@@ -145,7 +145,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
     gives the ids of the whole text) and write them in ascending doc_id order."""
     rows = keyed(docs)
     n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(_write(path or tokenizer_path()), SCHEMA).write.parquet(folder + "/records")
+    arrow(rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id"), _write(path or tokenizer_path()), SCHEMA).write.parquet(folder + "/records")
     shards = docs.sparkSession.read.schema(SCHEMA).parquet(folder + "/records").groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     shards.withColumn("before", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).select("shard", "before").write.parquet(folder + "/shards")
 
@@ -171,7 +171,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     shards = spark.read.schema("shard int, before long").parquet(folder + "/shards")
     rows = spark.read.schema(SCHEMA).parquet(folder + "/records")
     rows = rows.join(F.broadcast(shards), "shard").withColumn("first", F.col("first") + F.col("before"))
-    return rows.select("first", "doc_ids", "doc_lens", "block_starts", "payload").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow(rows.select("first", "doc_ids", "doc_lens", "block_starts", "payload"), _read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file(docs: DataFrame, path: str | None = None, folder: str | None = None) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pin
+from .common import arrow, pin
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 512
@@ -155,7 +155,7 @@ def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
     n = rows.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("long").alias("parts"))
     rows = rows.join(F.broadcast(n), "dim").select("vec_id", "v", "dim", F.expr("pmod(xxhash64(vec_id), parts)").alias("part"))
     to = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pin(rows.repartition(to, "dim", "part").sortWithinPartitions("dim", "part", "vec_id").mapInArrow(_pack, "dim int, part long, ids binary, x binary"), name)
+    return pin(arrow(rows.repartition(to, "dim", "part").sortWithinPartitions("dim", "part", "vec_id"), _pack, "dim int, part long, ids binary, x binary"), name)
 
 
 def _search(k: int):
@@ -197,7 +197,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             met = met.join(kth.select("dim", "block", F.col("x.vec_id").alias("kq"), F.col("x.score").alias("ks")), ["dim", "block"], "left")
         else:
             met = met.withColumn("kq", F.expr("cast(null as array<long>)")).withColumn("ks", F.expr("cast(null as array<long>)"))
-        got = shards.join(met, ["dim", "part"]).repartition(to, "dim", "part", "block").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+        got = arrow(shards.join(met, ["dim", "part"]).repartition(to, "dim", "part", "block"), _search(k), "query_id long, vec_id long, score long")
         if best is not None:
             got = got.unionByName(best.drop("rank"))
         best = pin(got.withColumn("rank", F.row_number().over(of)).filter(F.col("rank") <= k), "best")
