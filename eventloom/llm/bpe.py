@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from .common import arrow, keyed, slices, trim
 
 #: Text bytes of a chunk.
-CHUNK_BYTES = 10 << 20
+CHUNK_BYTES = 5 << 20
 #: Words that a worker keeps the ids of, at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _held: dict[str, WordEncoder] = {}
 
 
@@ -47,7 +47,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Ids of single words by the tokenizers library, kept in a bounded table."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,6 +57,7 @@ class WordEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.ids: dict[str, bytes] = {}
+        self.most = most
         self.pieces = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
 
     @staticmethod
@@ -74,22 +75,23 @@ class WordEncoder:
 
     def __call__(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.ids) > self.most:
             self.ids.clear()
         parts = [self._base(w) if "<|" not in w else (w, "") for w in words]
         ids = self.ids
         new = list(dict.fromkeys(x for p in parts for x in p if x and x not in ids))
-        for at in range(0, len(new), 50_000):
-            some = new[at : at + 50_000]
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
             for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids[w] = np.array(e.ids, "<u4").tobytes()
         return [ids[a] + ids[b] if b else ids[a] for a, b in parts]
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most: int = CACHE_WORDS) -> WordEncoder:
     if path not in _held:
         _held.clear()
         _held[path] = WordEncoder(path)
+    _held[path].most = most
     return _held[path]
 
 
@@ -231,17 +233,17 @@ _DIGEST_PA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_
 def _digest(doc_ids, counts, idx, by_word, enc):
     """Digest columns: decimal ids and decoded pieces of each whole document, joined by position."""
     n = np.fromiter((len(x) // 4 for x in by_word), np.int64, len(by_word))
-    pieces = enc.pieces
-    split = [np.frombuffer(x, "<u4").tolist() for x in by_word]
-    digits = [" ".join(map(str, x)).encode() for x in split]
-    decoded = [" ".join([pieces[i] for i in x]).encode() for x in split]
-    keep = n[idx] > 0 if len(idx) else np.empty(0, bool)
+    pieces, digits, decoded = enc.pieces, [], []
+    for k, x in enumerate(by_word):  # each word's ids go as its digits and pieces come
+        ids = np.frombuffer(x, "<u4").tolist()
+        digits.append(" ".join(map(str, ids)).encode())
+        decoded.append(" ".join([pieces[i] for i in ids]).encode())
+        by_word[k] = None
     sums = np.concatenate([[0], np.cumsum(n[idx])]) if len(idx) else np.zeros(1, np.int64)
-    ends = np.cumsum(counts)
-    where, out = idx.tolist(), ([], [])
-    all_kept = bool(keep.all())
+    ends, out = np.cumsum(counts), ([], [])
     for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
-        mine = where[a:b] if all_kept else [i for i in where[a:b] if split[i]]
+        mine = idx[a:b]
+        mine = mine[n[mine] > 0].tolist()
         for table, to in zip((digits, decoded), out, strict=True):
             to.append(hashlib.sha256(b" ".join([table[i] for i in mine])).hexdigest())
     yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(sums[ends] - sums[ends - counts]), pa.array(out[0], pa.string()), pa.array(out[1], pa.string())], schema=_DIGEST_PA)
