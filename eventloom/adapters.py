@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.sequence import ranked
+from .plans.session_set import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_id, rank, order, event_id, blob_id, n, type, surface, k, user_id)."""
+    """(session_id, rank, order, event_id, blob_id, n, type, surface, k, user_id), written once for all that reads it."""
     rows = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), "user_id", F.col("event_id").cast("long").alias("n"), "event_type", F.regexp_extract("props", r'"k": (\d+)', 1).try_cast("long").alias("k"))
     rows = ranked(rows, "n").withColumn("order", F.col("rank").cast("double"))
     kind = F.when(F.col("event_type") == "signup", "turn/start").when(F.col("event_type") == "error", "turn/end").otherwise(F.col("event_type"))
     rows = rows.withColumn("event_id", F.concat(F.lit("evt_"), "session_id", F.lit("_"), F.col("rank").cast("string"))).withColumn("blob_id", F.concat(F.lit("blob_"), F.col("rank").cast("string")))
-    return rows.select("session_id", "rank", "order", "event_id", "blob_id", "n", kind.alias("type"), F.col("event_type").isin("view", "click", "purchase").alias("surface"), "k", "user_id")
+    return materialize(rows.select("session_id", "rank", "order", "event_id", "blob_id", "n", kind.alias("type"), F.col("event_type").isin("view", "click", "purchase").alias("surface"), "k", "user_id"))
 
 
 def entries(log: DataFrame) -> DataFrame:

@@ -25,9 +25,9 @@ def shadow(requests: DataFrame) -> DataFrame:
 
 
 def ranges(ranked: DataFrame, gone: DataFrame) -> DataFrame:
-    """session_id, first, last: ranks of the first and last shadowed surface event."""
+    """session_id, first, last (ranks of the first and last shadowed surface event), first_order."""
     hit = ranked.filter("surface").join(gone.select("session_id", "event_id"), ["session_id", "event_id"], "left_semi")
-    return hit.groupBy("session_id").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
+    return hit.groupBy("session_id").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.min("order").alias("first_order"))
 
 
 def rewrite(entries: DataFrame, gone: DataFrame, spans: DataFrame, marker_rows: DataFrame) -> DataFrame:
@@ -35,12 +35,12 @@ def rewrite(entries: DataFrame, gone: DataFrame, spans: DataFrame, marker_rows:
 
     Events of the range that are not shadowed survive and stand behind the markers.
     """
-    rows = sequence.ranked(entries)
-    left = rows.join(spans, "session_id").join(gone.select("session_id", "event_id"), ["session_id", "event_id"], "left_anti")
-    old = left.select("session_id", F.col("rank").alias("pos"), F.lit(0).alias("sub"), "event_id", "blob_id")
-    put = marker_rows.join(spans, "session_id").select("session_id", F.col("first").alias("pos"), "sub", "event_id", "blob_id")
-    both = old.union(put).withColumn("key", F.col("pos") * 8 + F.col("sub"))
-    return sequence.ranked(both, "key").select("session_id", F.col("rank").cast("double").alias("order"), "event_id", "blob_id")
+    spans = spans.select("session_id", F.col("first_order").alias("pos"))
+    left = entries.join(spans.drop("pos"), "session_id", "left_semi").join(gone.select("session_id", "event_id"), ["session_id", "event_id"], "left_anti")
+    old = left.select("session_id", F.col("order").alias("pos"), F.lit(0).alias("sub"), "event_id", "blob_id")
+    put = marker_rows.join(spans, "session_id").select("session_id", "pos", "sub", "event_id", "blob_id")
+    # the shadowed event that stood at pos is gone: its order is free for the markers
+    return sequence.ranked(materialize(old.union(put)), ("pos", "sub")).select("session_id", F.col("rank").cast("double").alias("order"), "event_id", "blob_id")
 
 
 def redirect(references: DataFrame, gone: DataFrame) -> DataFrame:
@@ -68,8 +68,11 @@ def fold_summaries(compacted: DataFrame, gone: DataFrame, new: DataFrame) -> Dat
 
 
 def interval_check(ranked: DataFrame, gone: DataFrame, spans: DataFrame) -> DataFrame:
-    """Surface events between first and last that are not shadowed: (session_id, event_id, rank)."""
-    rows = ranked.filter("surface").join(spans, "session_id").filter("rank between first and last")
+    """Surface events between first and last that are not shadowed: (session_id, event_id, rank).
+
+    Any event that carries a surface mark counts, of whatever type (column ``marked``, if there is one).
+    """
+    rows = ranked.filter("marked" if "marked" in ranked.columns else "surface").join(spans, "session_id").filter("rank between first and last")
     return rows.join(gone.select("session_id", "event_id"), ["session_id", "event_id"], "left_anti").select("session_id", "event_id", "rank")
 
 
@@ -99,7 +102,7 @@ def guards(s: SessionSet, requests: DataFrame, env: DataFrame) -> DataFrame:
         bad(put.join(s.entries.select("session_id", "blob_id"), ["session_id", "blob_id"], "left_semi"), "marker-blob-used", "blob_id"),
         bad(plain, "shadowed-not-surface", "event_id"),
         bad(inside, "bracket-cut", "compaction_id"),
-        bad(interval_check(env, gone, spans), "surface-not-shadowed", "event_id"),
+        bad(interval_check(env.withColumn("marked", F.array_contains("keys", F.lit("surfaceOp"))), gone, spans), "surface-not-shadowed", "event_id"),
         bad(requests.join(spans, "session_id", "left_anti"), "no-surface-event"),
         bad(turn.join(envelopes_of_start(s, requests), "session_id").filter("not (open_turn <=> start_turn)"), "turn-not-open", "event_id"),
     ]
@@ -117,8 +120,8 @@ def compact(s: SessionSet, requests: DataFrame, new_summaries: DataFrame) -> tup
     env = materialize(envelopes(s.entries, s.blobs))
     refused = materialize(guards(s, requests, env))
     requests = requests.join(refused.select("session_id").distinct(), "session_id", "left_anti")
-    gone = shadow(requests)
-    spans = ranges(env, gone)
+    gone = materialize(shadow(requests))
+    spans = materialize(ranges(env, gone))
     put = requests.select("session_id", F.posexplode(F.array(*(F.struct(F.col(f"{r}_id").alias("event_id"), F.col(f"{r}_blob").alias("blob_id")) for r in ROLES))).alias("i", "x")).select("session_id", (F.col("i") + 1).alias("sub"), "x.event_id", "x.blob_id")
     entries = rewrite(s.entries, gone, spans, put).unionByName(s.entries.join(requests, "session_id", "left_anti").select(s.entries.columns))
     dead = gone.select("session_id", F.col("event_id").alias("seed_boundary_id"), F.col("checkpoint_id").alias("_c"))

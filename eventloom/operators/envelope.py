@@ -67,7 +67,8 @@ def open_stack(rows: DataFrame) -> DataFrame:
                         out.append((session, stack))
                     session, stack = s, []
                 if kind == "turn/start":
-                    stack.append(turn)
+                    if turn is not None:  # a start without a number opens nothing
+                        stack.append(turn)
                 elif stack and stack[-1] == turn:
                     stack.pop()
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], schema.field(1).type)], schema=schema)

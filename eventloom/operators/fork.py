@@ -34,12 +34,11 @@ def guards(s: SessionSet, boundaries: DataFrame, env: DataFrame) -> DataFrame:
     b = brackets(s.compacted, env.select("session_id", "event_id", "rank")).join(ends.select("session_id", "rank"), "session_id")
     claimed = s.compacted.select("session_id", F.explode(F.array("markers.start_event_id", "markers.summary_event_id", "checkpoint_event_id", "markers.end_event_id")).alias("event_id")).distinct()
     upto = env.join(ends.select("session_id", F.col("rank").alias("end")), "session_id").filter("rank <= end")
-    # unclaimed: the last start before the boundary must have been closed by an end or an end of seed
-    marks = upto.filter(F.col("type").isin("compaction/start", "compaction/end", "session/end-seed")).join(claimed, ["session_id", "event_id"], "left_anti")
-    last = marks.groupBy("session_id").agg(F.max_by("type", "rank").alias("type"))
-    # a span that an end or end of seed never closes is no span: it must close behind the boundary
-    behind = env.join(ends.select("session_id", F.col("rank").alias("end")), "session_id").filter("rank > end").filter(F.col("type").isin("compaction/end", "session/end-seed")).join(claimed, ["session_id", "event_id"], "left_anti").select("session_id").distinct()
-    cut = last.filter(F.col("type") == "compaction/start").join(behind, "session_id", "left_semi")
+    # unclaimed: a start counts as open until the next end or end of seed, and a later start takes its place
+    marks = env.filter(F.col("type").isin("compaction/start", "compaction/end", "session/end-seed")).join(ends.select("session_id", F.col("rank").alias("end")), "session_id").join(claimed, ["session_id", "event_id"], "left_anti")
+    last = marks.filter("rank <= end").groupBy("session_id").agg(F.max_by("type", "rank").alias("type")).filter(F.col("type") == "compaction/start")
+    following = marks.filter("rank > end").groupBy("session_id").agg(F.min_by("type", "rank").alias("next")).filter(F.col("next") != "compaction/start")
+    cut = last.join(following, "session_id", "left_semi")
     parts = [
         bad(boundaries.filter("child_id = session_id or child_id is null"), "child-id", "child_id"),
         bad(boundaries.join(env, ["session_id", "event_id"], "left_anti"), "unknown-event", "event_id"),

@@ -55,10 +55,15 @@ def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def sweep(pages: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages to keep, damaged pages that are reachable); nothing may be swept while there are any of these."""
+    """(pages to keep, faults (page_id, reason)): reachable pages that are damaged or missing.
+
+    What a faulty page leads to is unknown, so with any fault every page is kept.
+    """
     links, damaged = page_links(pages)
-    live = reachable(links, roots)
-    return pages.join(live, "page_id", "left_semi"), damaged.join(live, "page_id", "left_semi")
+    live = materialize(reachable(links, roots))
+    missing = live.join(pages, "page_id", "left_anti").select("page_id", F.lit("missing").alias("reason"))
+    faults = materialize(damaged.join(live, "page_id", "left_semi").unionByName(missing))
+    return pages if faults.limit(1).count() else pages.join(live, "page_id", "left_semi"), faults
 
 
 def session_roots(sessions: DataFrame) -> DataFrame:

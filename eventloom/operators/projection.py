@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session_set import materialize
 from . import sequence
 
 
@@ -14,7 +15,7 @@ def advance(state: DataFrame | None, entries: DataFrame, value: Column, merge=F.
     ``merge`` is an associative aggregate, so partial results meet before the shuffle; the
     watermark is the entry of the greatest rank.
     """
-    rows = sequence.ranked(entries).withColumn("_v", value)
+    rows = materialize(sequence.ranked(entries).withColumn("_v", value).select("session_id", "event_id", "rank", "_v"))
     if state is None:
         return rows.groupBy("session_id").agg(merge("_v").alias("value"), F.max_by("event_id", "rank").alias("watermark_event_id"))
     known = rows.select("session_id", F.col("event_id").alias("watermark_event_id"), F.col("rank").alias("_w"))
@@ -46,9 +47,11 @@ def needs_rebuild(state: DataFrame, compacted: DataFrame, entries: DataFrame) ->
     None without a watermark is stale; a shadowed one is; else the watermark must be live
     and stand before a live checkpoint.
     """
-    ranks = sequence.ranked(entries).select("session_id", "event_id", "rank")
-    rows = state.join(compacted.select("session_id", "compaction_id", "checkpoint_event_id", "shadowed_ids"), "session_id")
+    ranks = materialize(sequence.ranked(entries).select("session_id", "event_id", "rank"))
+    gone = compacted.select("session_id", "compaction_id", F.explode("shadowed_ids").alias("watermark_event_id")).distinct().withColumn("_s", F.lit(True))
+    rows = state.join(compacted.select("session_id", "compaction_id", "checkpoint_event_id"), "session_id")
+    rows = rows.join(gone, ["session_id", "compaction_id", "watermark_event_id"], "left")
     rows = rows.join(ranks.select("session_id", F.col("event_id").alias("watermark_event_id"), F.col("rank").alias("_w")), ["session_id", "watermark_event_id"], "left")
     rows = rows.join(ranks.select("session_id", F.col("event_id").alias("checkpoint_event_id"), F.col("rank").alias("_c")), ["session_id", "checkpoint_event_id"], "left")
-    stale = F.when(F.col("watermark_event_id").isNull(), False).when(F.array_contains("shadowed_ids", F.col("watermark_event_id")), True).when(F.col("_w").isNull() | F.col("_c").isNull(), True)
-    return rows.withColumn("stale", stale.otherwise(F.col("_w") >= F.col("_c"))).drop("_w", "_c", "shadowed_ids")
+    stale = F.when(F.col("watermark_event_id").isNull(), False).when(F.col("_s"), True).when(F.col("_w").isNull() | F.col("_c").isNull(), True)
+    return rows.withColumn("stale", stale.otherwise(F.col("_w") >= F.col("_c"))).drop("_w", "_c", "_s")

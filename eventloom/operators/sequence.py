@@ -7,23 +7,32 @@ within order-preserving buckets of one session and the counts of earlier buckets
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..plans.session_set import materialize
 from ..schemas import FANOUT
 
 #: Width of a bucket of order keys.
 BUCKET = 65536
 
 
-def ranked(entries: DataFrame, by: str = "order", key: str = "session_id", width: int = BUCKET) -> DataFrame:
-    """The frame with ``rank``: position in its session by a numeric column."""
-    rows = entries.withColumn("_b", F.floor(F.col(by) / width))
-    before = rows.groupBy(key, "_b").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_b").orderBy(by)))
-    return rows.join(before, [key, "_b"]).withColumn("rank", (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_b", "_r", "_before")
+def ranked(entries: DataFrame, by: str | tuple[str, ...] = "order", key: str = "session_id", width: int = BUCKET) -> DataFrame:
+    """The frame with ``rank``: position in its session by a numeric column, and by further ones where that is equal.
+
+    Every row stays: a null key is a session of its own, and a null in the column gives a null rank.
+    """
+    by = (by,) if isinstance(by, str) else by
+    rows = entries.withColumn("_b", F.floor(F.col(by[0]) / width))
+    before = rows.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    counts = F.sum("_n").over(Window.partitionBy("_k").orderBy(F.asc_nulls_last("_c")).rowsBetween(Window.unboundedPreceding, -1))
+    before = before.withColumn("_before", F.coalesce(counts, F.lit(0))).drop("_n")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_b").orderBy(*by)))
+    both = rows.join(before, rows[key].eqNullSafe(before["_k"]) & rows["_b"].eqNullSafe(before["_c"]))
+    return both.withColumn("rank", F.when(F.col("_b").isNotNull(), F.col("_before") + F.col("_r") - 1).cast("long")).drop("_b", "_r", "_before", "_k", "_c")
 
 
 def renumber(entries: DataFrame) -> DataFrame:
@@ -63,15 +72,20 @@ def insert(entries: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
 def append(entries: DataFrame, bindings: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Append (session_id, seq, event_id, blob_id) behind the last entry of each session, in order of seq.
 
-    Returns (entries, violations): ids ever bound in the lineage are refused.  Where the
-    next orders are no safe integers any more, the session is renumbered first.
+    Returns (entries, violations): ids ever bound in the lineage are refused.  Where an order
+    would not lie above the one before any more (beyond 2**53, or by rounding), the session
+    is renumbered densely, as single appends would leave it.
     """
-    last = entries.groupBy("session_id").agg(F.max("order").alias("last"), F.count("*").alias("n"))
-    full = last.filter(F.col("last") > 2.0**53 - 2).select("session_id")
-    entries = entries.join(full, "session_id", "left_anti").unionByName(renumber(entries.join(full, "session_id", "left_semi")).select(entries.columns))
-    last = last.withColumn("last", F.when(F.col("last") > 2.0**53 - 2, (F.col("n") - 1).cast("double")).otherwise(F.col("last")))
+    n_new = new.groupBy("session_id").agg(F.count("*").alias("_new"))
+    last = entries.groupBy("session_id").agg(F.max("order").alias("last"), F.count("*").alias("n")).join(n_new, "session_id")
+    last = materialize(last.withColumn("full", (F.col("last") + F.col("_new") > 2.0**53) | (F.col("last") + 1 <= F.col("last"))))
+    full = last.filter("full").select("session_id")
+    if full.limit(1).count():
+        dense = renumber(entries.join(full, "session_id", "left_semi")).select(entries.columns)
+        entries = entries.join(full, "session_id", "left_anti").unionByName(dense)
+    last = last.select("session_id", F.when(F.col("full"), (F.col("n") - 1).cast("double")).otherwise(F.col("last")).alias("last"))
     more = ranked(new, "seq").join(last, "session_id", "left")
-    more = more.withColumn("order", F.floor(F.coalesce("last", F.lit(-1.0))).cast("double") + 1 + F.col("rank")).select("session_id", "order", "event_id", "blob_id")
+    more = materialize(more.select("session_id", (F.coalesce("last", F.lit(-1.0)) + 1 + F.col("rank")).alias("order"), "event_id", "blob_id"))
     used = more.join(bindings.select("session_id", "event_id"), ["session_id", "event_id"], "left_semi")
     twice = more.groupBy("session_id", "event_id").count().filter("count > 1")
     bad = used.select("session_id", "event_id").unionByName(twice.select("session_id", "event_id")).select("session_id", F.lit("event-reused").alias("rule"), F.col("event_id").alias("subject"))
@@ -85,22 +99,42 @@ def minted(sessions: DataFrame, new: DataFrame) -> DataFrame:
     return rows.withColumn("blob_id", ids.blob_id(F.col("blob_id_watermark") + 1 + F.col("rank"))).drop("next_event_counter", "blob_id_watermark")
 
 
+def range_refusals(entries: DataFrame, bounds: DataFrame, new: DataFrame) -> DataFrame:
+    """(session_id, rule, subject): why a replacement is refused: inverted bounds, and new ids that live on outside the range or come twice."""
+    inverted = bounds.filter("lo > hi or lo < 0").select("session_id", F.lit("range-inverted").alias("rule"), F.concat_ws("-", "lo", "hi").alias("subject"))
+    twice = new.groupBy("session_id", "event_id").count().filter("count > 1").select("session_id", F.lit("event-reused").alias("rule"), F.col("event_id").alias("subject"))
+    used = new.join(entries.select("session_id", "event_id"), ["session_id", "event_id"], "left_semi").select("session_id", F.lit("event-reused").alias("rule"), F.col("event_id").alias("subject"))
+    return inverted.unionByName(twice).unionByName(used).distinct()
+
+
+def replace_events(entries: DataFrame, bindings: DataFrame, bounds: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``replace_range`` between two events (session_id, first_id, last_id); (entries, refusals).
+
+    Both ids must be live and in order, and no id of the lineage (bindings) may come again.
+    Sessions with a refusal stay as they are.
+    """
+    ranks = materialize(ranked(entries).select("session_id", "event_id", "rank"))
+    place = lambda c, to: ranks.select("session_id", F.col("event_id").alias(c), F.col("rank").alias(to))
+    at = materialize(bounds.join(place("first_id", "lo"), ["session_id", "first_id"], "left").join(place("last_id", "hi"), ["session_id", "last_id"], "left"))
+    unknown = at.select("session_id", F.explode(F.array(F.struct(F.col("first_id").alias("id"), F.col("lo").alias("at")), F.struct(F.col("last_id").alias("id"), F.col("hi").alias("at")))).alias("x")).filter("x.at is null")
+    bad = unknown.select("session_id", F.lit("unknown-event").alias("rule"), F.col("x.id").alias("subject"))
+    lineage = bindings.select("session_id", "event_id").union(entries.select("session_id", "event_id")).distinct()
+    bad = materialize(bad.unionByName(range_refusals(lineage, at.filter("lo is not null and hi is not null"), new)).distinct())
+    refused = bad.select("session_id").distinct()
+    good = at.join(refused, "session_id", "left_anti").select("session_id", "lo", "hi")
+    return replace_range(entries, good, new.join(good.select("session_id"), "session_id", "left_semi")), bad
+
+
 def replace_range(entries: DataFrame, bounds: DataFrame, new: DataFrame) -> DataFrame:
     """Replace the ranks lo .. hi of each session of ``bounds`` (session_id, lo, hi) by ``new`` (session_id, sub, event_id, blob_id).
 
     Sessions in ``bounds`` get dense orders; with nothing new the range is deleted.
     """
-    rows = ranked(entries).join(bounds, "session_id", "left")
-    old = rows.filter(F.col("lo").isNull() | (F.col("rank") < F.col("lo")) | (F.col("rank") > F.col("hi")))
-    old = old.select("session_id", "event_id", "blob_id", F.col("order"), F.col("lo").isNotNull().alias("hit"), F.col("rank").alias("pos"), F.lit(0).cast("long").alias("sub"))
-    put = new.join(bounds, "session_id").select("session_id", "event_id", "blob_id", F.lit(None).cast("double").alias("order"), F.lit(True).alias("hit"), F.col("lo").cast("long").alias("pos"), (F.col("sub") + 1).cast("long").alias("sub"))
-    both = old.filter("hit").unionByName(put)
-    # positions and subpositions together are an order key: counts before a position, then the place in it
-    before = both.groupBy("session_id", F.floor(F.col("pos") / BUCKET).alias("_b")).agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("session_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    both = both.withColumn("_b", F.floor(F.col("pos") / BUCKET)).withColumn("_r", F.row_number().over(Window.partitionBy("session_id", "_b").orderBy("pos", "sub")))
-    dense = both.join(before, ["session_id", "_b"]).withColumn("order", (F.col("_before") + F.col("_r") - 1).cast("double"))
-    return dense.select("session_id", "order", "event_id", "blob_id").unionByName(old.filter("not hit").select("session_id", "order", "event_id", "blob_id"))
+    rows = materialize(ranked(entries).join(bounds, "session_id", "left"))
+    old = rows.filter("lo is not null and (rank < lo or rank > hi)").select("session_id", "event_id", "blob_id", F.col("rank").alias("pos"), F.lit(0).cast("long").alias("sub"))
+    put = new.join(bounds, "session_id").select("session_id", "event_id", "blob_id", F.col("lo").cast("long").alias("pos"), (F.col("sub") + 1).cast("long").alias("sub"))
+    dense = ranked(old.unionByName(put), ("pos", "sub")).select("session_id", F.col("rank").cast("double").alias("order"), "event_id", "blob_id")
+    return dense.unionByName(rows.filter("lo is null").select("session_id", "order", "event_id", "blob_id"))
 
 
 def remove(entries: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,12 +150,18 @@ def split_at_rank(entries: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def split_at_order(entries: DataFrame, at_order: float) -> tuple[DataFrame, DataFrame]:
+    """Entries up to an order, and behind it."""
+    if not math.isfinite(at_order):
+        raise ValueError("the bound of a split must be finite")
     return entries.filter(F.col("order") <= at_order), entries.filter(F.col("order") > at_order)
 
 
 def split_at_event(entries: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """As ``split_at_rank`` behind the event of (session_id, event_id)."""
-    cuts = rank_of(entries, boundaries).filter("rank is not null").select("session_id", (F.col("rank") + 1).alias("cut"))
+    """As ``split_at_rank`` behind the event of (session_id, event_id); unknown ids are an error."""
+    ranks = rank_of(entries, boundaries)
+    if lost := ranks.filter("rank is null").limit(3).collect():
+        raise ValueError("unknown events: " + ", ".join(f"{r.session_id}: {r.event_id}" for r in lost))
+    cuts = ranks.select("session_id", (F.col("rank") + 1).alias("cut"))
     return split_at_rank(entries, cuts)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.codec import is_safe, valid_usage
+from ..functions.codec import is_safe, valid_blocks, valid_usage
 from ..plans.session_set import SessionSet, materialize
 from ..schemas import FORMAT_VERSION
 from . import sequence
@@ -25,7 +25,7 @@ RULES = (
     "record", "duplicate-event", "duplicate-order", "order-not-finite", "reference-key", "reference-targets", "dangling-reference",
     "summary-shape", "counter", "missing-blob", "binding-conflict", "marker-shared", "marker-missing", "bracket-overlap",
     "marker-order", "marker-envelope", "checkpoint-envelope", "summary-payload", "command", "turn", "span-boundary",
-    "shadowed-live", "transaction", "seed-boundary", "blob-watermark", "blob-changed", "foreign-id", "rebound", "order-not-increasing",
+    "shadowed-live", "transaction", "seed-boundary", "blob-watermark", "blob-changed", "foreign-id", "rebound", "binding-lost", "order-not-increasing",
 )
 ENVELOPE_KEYS = ("type", "time", "data", "surfaceOp", "sourceEventSeqs", "ignorable")
 
@@ -39,9 +39,9 @@ def records(sessions: DataFrame) -> DataFrame:
     """V1: field types and ranges of the control record."""
     c = F.col
     ok = (c("format_version") == FORMAT_VERSION) & c("session_id").isNotNull() & (F.length("session_id") > 0)
-    for n in ("next_event_counter", "blob_id_watermark", "revision"):
+    for n in ("next_event_counter", "revision"):
         ok = ok & is_safe(c(n))
-    for n in ("created_at", "delegation_depth"):
+    for n in ("created_at", "delegation_depth", "blob_id_watermark"):
         ok = ok & (c(n).isNull() | is_safe(c(n)))
     ok = ok & (c("cwd").isNull() | c("cwd").rlike(r"\A(/|[A-Za-z]:[\\/])")) & (c("origin").isNull() | (c("origin") == "subagent"))
     return _bad(sessions.filter(~F.coalesce(ok, F.lit(False))), "record")
@@ -55,14 +55,21 @@ def references(refs: DataFrame, entries: DataFrame) -> DataFrame:
     return key.union(same).union(_bad(ends.distinct().join(entries.select("session_id", "event_id"), ["session_id", "event_id"], "left_anti"), "dangling-reference", "event_id"))
 
 
+def _blocks(text: Column) -> Column:
+    """P10: JSON text of an array of content blocks."""
+    blocks = F.transform(F.from_json(text, "array<string>"), lambda b: b)
+    return F.coalesce(F.try_parse_json(text).isNotNull() & text.rlike(r"\A\s*\[") & valid_blocks(blocks), F.lit(False))
+
+
 def summaries(compacted: DataFrame) -> DataFrame:
     """V5: shape of a compaction summary."""
     c = F.col
     ok = (F.length("compaction_id") > 0) & (F.size("shadowed_ids") > 0) & (F.size("shadowed_ids") == F.size(F.array_distinct("shadowed_ids")))
     ok = ok & F.array_contains("shadowed_ids", c("shadowed_range.start_id")) & F.array_contains("shadowed_ids", c("shadowed_range.end_id"))
     ok = ok & (F.size("shadowed_seqs") > 0) & F.forall("shadowed_seqs", is_safe) & (F.get("shadowed_seqs", F.lit(0)) == c("shadowed_seq_range.start")) & (F.element_at("shadowed_seqs", -1) == c("shadowed_seq_range.end"))
-    ok = ok & is_safe(c("shadowed_token_count")) & (F.length("provider") > 0) & (F.length("model") > 0) & (c("source_command_id").isNull() | (F.length("source_command_id") > 0))
+    ok = ok & is_safe(c("shadowed_token_count")) & c("provider").isNotNull() & c("model").isNotNull() & (c("source_command_id").isNull() | (F.length("source_command_id") > 0))
     ok = ok & (c("max_tokens").isNull() | is_safe(c("max_tokens"))) & valid_usage(c("usage")) & (c("llm_stream_call").isNull() | (c("llm_stream_call") & c("raw_output").isNotNull()))
+    ok = ok & _blocks(c("summary")) & (c("raw_output").isNull() | _blocks(c("raw_output")))
     return _bad(compacted.filter(~F.coalesce(ok, F.lit(False))), "summary-shape", "compaction_id")
 
 
@@ -176,17 +183,20 @@ def transactions(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session = cursor = txn = None
+        inside = -1  # the end of the claimed bracket that is open
         for batch in batches:
             bad = []
             for r in batch.to_pylist():
                 if r["session_id"] != session:
-                    session, cursor, txn = r["session_id"], None, None
+                    session, cursor, txn, inside = r["session_id"], None, None, -1
                 kind, cid, ok = r["type"], r["compaction_id"], True
-                if kind in ("turn/start", "turn/end"):
+                if kind == "claimed":
+                    ok, inside = txn is None, r["until"]
+                elif kind in ("turn/start", "turn/end"):
                     ok = txn is None
                     cursor = r["turn"] if kind == "turn/start" else None
                 elif kind == "compaction/start":
-                    ok = txn is None and bool(cid) and r["has_turn"] and r["turn"] == cursor
+                    ok = txn is None and r["rank"] > inside and bool(cid) and r["has_turn"] and r["turn"] == cursor
                     txn = {"id": cid, "turn": r["turn"], "command": r["command"], "done": False}
                 elif kind == "compaction/summary":
                     ok = txn is not None and cid == txn["id"] and not txn["done"] and r["command"] == txn["command"]
@@ -203,10 +213,16 @@ def transactions(rows: DataFrame) -> DataFrame:
                     bad.append(r)
             yield pa.RecordBatch.from_arrays([pa.array([r["session_id"] for r in bad], pa.string()), pa.array(["transaction"] * len(bad), pa.string()), pa.array([r["event_id"] for r in bad], pa.string())], schema=_TXN_PA)
 
-    wanted = F.col("type").isin("turn/start", "turn/end", "compaction/start", "compaction/summary", "compaction/end", "session/end-seed") | F.col("is_checkpoint")
+    rows = rows if "until" in rows.columns else rows.withColumn("until", F.lit(None).cast("long"))
+    wanted = F.col("type").isin("claimed", "turn/start", "turn/end", "compaction/start", "compaction/summary", "compaction/end", "session/end-seed") | F.col("is_checkpoint")
     return rows.filter(wanted).repartition("session_id").sortWithinPartitions("session_id", "rank").mapInArrow(run, "session_id string, rule string, subject string")
 
 
+def _claimed_spans(b: DataFrame) -> DataFrame:
+    """Claimed brackets as rows of ``transactions``: an unclaimed transaction must not be open at one nor start inside."""
+    return b.filter("start_rank is not null and end_rank is not null").select("session_id", F.col("start_rank").alias("rank"), F.col("start_id").alias("event_id"), F.lit("claimed").alias("type"), F.col("end_rank").alias("until"), F.lit(False).alias("is_checkpoint"))
+
+
 def transaction_rows(env: DataFrame) -> DataFrame:
     data = F.col("data")
     point = (F.col("type") == "user/message") & (get(F.col("surface_op"), "op") == "replace") & (get(data, "source.kind") == "plugin") & (get(data, "source.plugin") == "compact")
@@ -214,14 +230,17 @@ def transaction_rows(env: DataFrame) -> DataFrame:
 
 
 def commit_changes(before: SessionSet, after: SessionSet, backups: DataFrame | None = None) -> DataFrame:
-    """V22 and V23 between two generations: blobs never change, kept ids keep their blob, new ids carry the own prefix."""
+    """V22 and V23 between two generations: blobs never change, kept ids keep their blob, new ids carry the own prefix; the binding table only grows."""
     old = before.blobs if backups is None else before.blobs.union(backups.select(before.blobs.columns))
     changed = after.blobs.join(old.select("session_id", "blob_id", F.col("payload").alias("prior")), ["session_id", "blob_id"]).filter("payload <> prior")
     kept = before.bindings.union(before.entries.select(before.bindings.columns)).distinct()
     moved = after.entries.join(kept.select("session_id", "event_id", F.col("blob_id").alias("prior")), ["session_id", "event_id"]).filter("blob_id <> prior")
+    held = before.bindings.join(after.sessions.select("session_id"), "session_id", "left_semi").select("session_id", "event_id", F.col("blob_id").alias("prior"))
+    now = after.bindings.groupBy("session_id", "event_id").agg(F.min("blob_id").alias("low"), F.max("blob_id").alias("high"))
+    table = held.join(now, ["session_id", "event_id"], "left")
     new = after.entries.join(kept, ["session_id", "event_id"], "left_anti").filter(ids.own_number("session_id", "event_id").isNull())
     lower = after.sessions.join(before.sessions.select("session_id", F.col("next_event_counter").alias("prior")), "session_id").filter("next_event_counter < prior")
-    return _bad(changed, "blob-changed", "blob_id").distinct().union(_bad(moved, "rebound", "event_id")).union(_bad(new, "foreign-id", "event_id")).union(_bad(lower, "counter", "next_event_counter"))
+    return _bad(changed, "blob-changed", "blob_id").distinct().union(_bad(moved.select("session_id", "event_id").union(table.filter("low <> prior or high <> prior").select("session_id", "event_id")).distinct(), "rebound", "event_id")).union(_bad(table.filter("low is null"), "binding-lost", "event_id")).union(_bad(new, "foreign-id", "event_id")).union(_bad(lower, "counter", "next_event_counter"))
 
 
 def violations(s: SessionSet) -> DataFrame:
@@ -235,7 +254,7 @@ def violations(s: SessionSet) -> DataFrame:
         records(s.sessions), sequence.violations(s.entries), references(s.references, s.entries), summaries(s.compacted), counters(s),
         missing_blobs(s.entries, s.blobs), binding_conflicts(s.entries, s.bindings), markers(s.compacted, ranks), bracket_overlap(b),
         bracket_spans(b, edges), marker_envelopes(s, env), shadowed_live(s.compacted, s.entries), seed_boundary(s.sessions, s.entries),
-        transactions(transaction_rows(env.join(claimed, ["session_id", "event_id"], "left_anti"))),
+        transactions(transaction_rows(env.join(claimed, ["session_id", "event_id"], "left_anti")).unionByName(_claimed_spans(b), allowMissingColumns=True)),
     ]
     return reduce(DataFrame.union, parts)
 

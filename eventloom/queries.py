@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import adapters as A
 from .functions import codec, ids
 from .operators import compaction, envelope, fork, gc, migrate, projection, sequence, validate
-from .plans.session_set import SessionSet, empty
+from .plans.session_set import SessionSet, empty, materialize, shared_folder
 from .sources import archive
 
 _Q: dict[str, Callable] = {}
@@ -62,7 +62,7 @@ def _gone(log: DataFrame) -> DataFrame:
 
 
 def _compacted(log: DataFrame) -> DataFrame:
-    gone = _gone(log)
+    gone = materialize(_gone(log))
     n = log.groupBy("session_id").agg(F.count("*").alias("n"))
     put = n.select("session_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("sub"), "n").select("session_id", "sub", ids.event_id("session_id", F.col("n") + F.col("sub") - 1).alias("event_id"), ids.blob_id(F.col("n") + F.col("sub") - 1).alias("blob_id"))
     return compaction.rewrite(A.entries(log), gone, compaction.ranges(log, gone), put)
@@ -371,7 +371,7 @@ UNION ALL SELECT session_id, seq, 'payload' FROM x WHERE k = 4 AND role <> 'syst
 UNION ALL SELECT session_id, NULL, 'contiguous' FROM x GROUP BY session_id HAVING count(*) FILTER (WHERE k = 5 AND seq = 0) > 0""")
 def migrate_rejects(spark, d):
     k = (F.col("session_id").cast("long") * 31 + F.col("seq")) % 17
-    rows = A.legacy(spark, d).withColumn("k", k).filter("not (k = 5 and seq = 0 and false)")
+    rows = A.legacy(spark, d).withColumn("k", k)
     rows = rows.withColumn("time", F.when(F.col("k") == 1, -1).otherwise(F.col("time"))).withColumn("surface_op", F.when(F.col("k") == 2, "replace").otherwise(F.col("surface_op")))
     rows = rows.withColumn("ignorable", F.when(F.col("k") != 3, F.col("ignorable"))).withColumn("data", F.when(F.col("k") != 4, F.col("data")))
     return migrate.rejects(rows.withColumn("seq", F.when((F.col("k") == 5) & (F.col("seq") == 0), -1).otherwise(F.col("seq")))).withColumn("seq", F.when(F.col("seq") < 0, 0).otherwise(F.col("seq")))
@@ -429,8 +429,8 @@ def projection_fold(spark, d):
     """Folded in two steps: the first half of each session, then the rest behind the watermark."""
     log = A.event_log(spark, d)
     cols = log.select("session_id", "order", "event_id", "k")
-    half = projection.advance(None, cols.filter("order % 1000 < 20"), F.col("k"))
-    first = cols.join(half.select("session_id", "watermark_event_id"), "session_id").filter("cast(regexp_extract(event_id, '_([0-9]+)$', 1) as long) <= cast(regexp_extract(watermark_event_id, '_([0-9]+)$', 1) as long)").drop("watermark_event_id")
+    half = cols.groupBy("session_id").agg((F.count("*") / 2).alias("half"))
+    first = cols.join(half, "session_id").filter("order < half").drop("half")
     return projection.advance(projection.advance(None, first, F.col("k")), cols, F.col("k"))
 
 
@@ -450,15 +450,13 @@ def projection_stale(spark, d):
 
 @query(_E + "SELECT session_id, n AS seq, event_id, blob_id FROM e")
 def stream_append_ids(spark, d):
-    import tempfile
     import uuid
 
     from .streaming import append
 
     schema = A.table(spark, d, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"), F.col("event_id").alias("seq"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventloom-")
-    return append.run_once(append.mint_ids(rows), f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}")
+    return append.run_once(append.mint_ids(rows), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}")
 
 
 @query(_E + "SELECT session_id, count(*)::BIGINT AS n_entries, max(event_id) AS last_id, (SELECT count(DISTINCT from_event_id) FROM r WHERE r.session_id = e.session_id)::BIGINT AS n_refs FROM e GROUP BY session_id")

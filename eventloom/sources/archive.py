@@ -50,8 +50,9 @@ def parse(archives: DataFrame, marker: str = MARKER) -> tuple[SessionSet, DataFr
 
 
 def read(spark: SparkSession, path: str, marker: str = MARKER, strict: bool = True) -> tuple[SessionSet, DataFrame]:
-    """Archives from files, one document each; bytes that are not UTF-8 are violations."""
-    raw = spark.read.format("binaryFile").load(path).select(F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.lit("")).alias("archive"))
+    """Archives from files, one document a line; lines that are not UTF-8 are violations, blank ones are passed over."""
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    raw = lines.select(F.coalesce(F.try_validate_utf8("value"), F.lit("")).alias("archive"))
     s, bad = parse(raw, marker)
     return s, bad.union(validate.violations(s)) if strict else bad
 

@@ -1,10 +1,17 @@
-"""Versioned storage of a set of sessions: immutable Parquet generations and one pointer.
+"""Versioned storage of a set of sessions: immutable Parquet parts, manifests and one pointer.
 
-A commit writes the next generation to a folder of its own and then publishes it by
-creating the pointer file ``refs/<n>`` that must not exist yet; of two committers who
-expect the same generation only one can create it, also on another machine.  Pointers
-are never deleted or rewritten by commits, so a revision can't come back (ABA) and a
-failed commit leaves nothing but an unreferenced folder, which ``vacuum`` removes.
+A commit writes one part, which holds only what it adds, and then publishes a manifest of
+all parts by renaming a whole file to ``refs/<n>``, which must not exist yet; of two
+committers who expect the same generation only one can publish it, also on another
+machine.  Pointers are never deleted or rewritten by commits, so a revision can't come
+back (ABA), a reader never sees half of one, and a failed commit leaves nothing but an
+unreferenced folder, which ``vacuum`` removes.
+
+Rows carry the number of their part.  Of a session's records the one of the newest part
+counts.  An append adds a record and its new rows; a commit that replaces a session sets
+the record's ``_since`` to its own part, and rows of that session in earlier parts are
+dead.  Bytes written thus follow what is committed and not the size of the store; ``merge``
+rewrites the parts as one when they have become many.
 
 Within a generation each session carries its own revision; ``commit`` replaces the
 sessions that it is given and returns those that were stale.
@@ -12,6 +19,7 @@ sessions that it is given and returns those that were stale.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -26,12 +34,16 @@ from ..operators.projection import needs_rebuild
 from ..plans.session_set import SessionSet, empty, materialize
 from ..schemas import KEEP_BACKUPS, TABLES
 
+#: Columns of the stored records beside their own: part, first part with live rows, greatest order.
+_KEPT = {"_part": "long", "_since": "long", "_last": "double"}
+
 
 class Storage(Protocol):
     """What a backend must offer."""
 
     def load(self, version: int | None = None) -> SessionSet: ...
     def publish(self, sessions: SessionSet, expected: int) -> int | None: ...
+    def extend(self, rows: Callable[[int], SessionSet], expected: int, replaces: bool) -> int | None: ...
     def head(self) -> int: ...
 
 
@@ -59,49 +71,101 @@ class Catalog:
         """The newest generation; 0: none."""
         return max((int(n) for n in self._names("refs") if n.isdigit()), default=0)
 
-    def _folder(self, version: int) -> str:
+    def _manifest(self, version: int) -> list[dict]:
+        """Parts of a generation: {no, name, tables}."""
+        if not version:
+            return []
         stream = self._fs().open(self._path("refs", str(version)))
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())["parts"]
         finally:
             stream.close()
 
+    def _read(self, table: str, parts: list[dict]) -> DataFrame:
+        folders = [f"{self.root.rstrip('/')}/data/{p['name']}/{table}" for p in parts if table in p["tables"]]
+        schema = TABLES[table] + (", _part long" if table != "sessions" else "".join(f", {c} {t}" for c, t in _KEPT.items()))
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def records(self, version: int | None = None) -> DataFrame:
+        """The newest record of each session, with the columns that the store keeps."""
+        parts = self._manifest(self.head() if version is None else version)
+        rows = self._read("sessions", parts)
+        if sum("sessions" in p["tables"] for p in parts) < 2:
+            return rows
+        return rows.groupBy("session_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "session_id")), "_part").alias("_x")).select("session_id", "_x.*").select(rows.columns)
+
     def load(self, version: int | None = None) -> SessionSet:
         version = self.head() if version is None else version
-        if not version:
-            return SessionSet(**{t: empty(self.spark, t) for t in TABLES})
-        folder = f"{self.root.rstrip('/')}/data/{self._folder(version)}"
-        return SessionSet(**{t: self.spark.read.schema(s).parquet(f"{folder}/{t}") for t, s in TABLES.items()})
-
-    def publish(self, sessions: SessionSet, expected: int) -> int | None:
-        """The new generation, or None if ``expected`` is not the newest any more."""
-        if self.head() != expected:
-            return None
-        name = uuid.uuid4().hex
-        for table, frame in sessions.frames().items():
-            frame.write.parquet(f"{self.root.rstrip('/')}/data/{name}/{table}")
-        temp = self._path("refs", f"_{name}")
+        parts = self._manifest(version)
+        records = self.records(version)
+        out = {"sessions": records.drop(*_KEPT)}
+        replaced = any(p["replaces"] for p in parts)
+        since = records.select("session_id", "_since").filter("_since > 0")
+        for t in TABLES:
+            if t != "sessions":
+                rows = self._read(t, parts)
+                if replaced:
+                    rows = rows.join(since, "session_id", "left").filter("_since is null or _part >= _since").drop("_since")
+                out[t] = rows.select(empty(self.spark, t).columns)
+        return SessionSet(**out)
+
+    def _point(self, parts: list[dict], expected: int) -> int | None:
+        """Publish a manifest as generation ``expected`` + 1, or None if another has."""
+        hadoop, jvm = self.spark._jsc.hadoopConfiguration(), self.spark._jvm
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), hadoop)
+        self._fs().mkdirs(self._path("refs"))
+        temp, target = self._path("refs", f"_{uuid.uuid4().hex}"), self._path("refs", str(expected + 1))
         out = self._fs().create(temp, False)
-        out.write(name.encode())
+        out.write(json.dumps({"parts": parts}).encode())
         out.hsync()
         out.close()
-        target = self._path("refs", str(expected + 1))
-        try:  # create-if-absent decides; the content is the folder's name, known to be whole
-            made = self._fs().create(target, False)
+        q = lambda p: files.makeQualified(p)
+        try:  # a rename that doesn't overwrite decides; what it publishes is whole
+            files.rename(q(temp), q(target), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
         except Exception as e:
             self._fs().delete(temp, False)
             if "AlreadyExists" in str(e) or self._fs().exists(target):
                 return None
             raise
-        made.write(name.encode())
-        made.hsync()
-        made.close()
-        self._fs().delete(temp, False)
         return expected + 1
 
+    def _write(self, rows: SessionSet, no: int, replaces: bool) -> dict:
+        """Write a part; tables without rows are left out."""
+        name, tables = uuid.uuid4().hex, []
+        for table, frame in rows.frames().items():
+            if frame.limit(1).count():
+                frame = frame if table == "sessions" else frame.withColumn("_part", F.lit(no).cast("long"))
+                frame.write.parquet(f"{self.root.rstrip('/')}/data/{name}/{table}")
+                tables.append(table)
+        return {"no": no, "name": name, "tables": tables, "replaces": replaces}
+
+    def _stored(self, s: SessionSet, no: int, since: int) -> SessionSet:
+        last = s.entries.groupBy("session_id").agg(F.max("order").alias("_last"))
+        return s.with_(sessions=s.sessions.join(last, "session_id", "left").select(*s.sessions.columns, F.lit(no).cast("long").alias("_part"), F.lit(since).cast("long").alias("_since"), "_last"))
+
+    def publish(self, sessions: SessionSet, expected: int) -> int | None:
+        """A generation of just these sessions, in one part, or None if ``expected`` is not the newest any more."""
+        if self.head() != expected:
+            return None
+        no = 1 + max((p["no"] for p in self._manifest(expected)), default=0)
+        return self._point([self._write(self._stored(sessions, no, 0), no, False)], expected)
+
+    def extend(self, rows: Callable[[int], SessionSet], expected: int, replaces: bool) -> int | None:
+        """Add a part: ``rows`` gets its number; sessions have the columns that the store keeps."""
+        parts = self._manifest(expected)
+        if self.head() != expected:
+            return None
+        no = 1 + max((p["no"] for p in parts), default=0)
+        return self._point([*parts, self._write(rows(no), no, replaces)], expected)
+
+    def merge(self) -> int | None:
+        """Rewrite all parts as one; readers of older generations are not disturbed."""
+        version = self.head()
+        return self.publish(self.load(version), version)
+
     def vacuum(self, keep: int = KEEP_BACKUPS + 1) -> list[str]:
         """Delete folders that none of the newest generations names; older pointers stay as the record of used revisions."""
-        live = {self._folder(v) for v in range(max(1, self.head() - keep + 1), self.head() + 1)}
+        live = {p["name"] for v in range(max(1, self.head() - keep + 1), self.head() + 1) for p in self._manifest(v)}
         gone = [n for n in self._names("data") if n not in live]
         for n in gone:
             self._fs().delete(self._path("data", n), True)
@@ -145,14 +209,13 @@ class Catalog:
                 first = validate.first_violation(found).limit(20).collect()
                 if first:
                     raise InvalidSessions("; ".join(f"{r.session_id}: {r.rule} ({r.subject})" for r in first))
-            both = _without(old, good.sessions.select("session_id"))
-            merged = SessionSet(**{t: getattr(both, t).unionByName(_backed_up(old, good).sessions if t == "sessions" else getattr(good, t)) for t in TABLES})
-            if self.publish(merged, version):
+            put = _backed_up(old, good)
+            if self.extend(lambda no: self._stored(put, no, no if again else 0), version, again):  # noqa: B023
                 return stale
 
     # -- reads -----------------------------------------------------------------------
     def record(self, session_id: str) -> DataFrame:
-        return self.load().sessions.filter(F.col("session_id") == session_id)
+        return self.records().drop(*_KEPT).filter(F.col("session_id") == session_id)
 
     def has_session(self, session_id: str) -> bool:
         return bool(self.record(session_id).limit(1).count())
@@ -166,12 +229,20 @@ def _only(s: SessionSet, ids: DataFrame) -> SessionSet:
     return SessionSet(**{t: f.join(ids.select("session_id"), "session_id", "left_semi").select(f.columns) for t, f in s.frames().items()})
 
 
+_POINTERS = ("root_page", "references_page", "blob_map_page", "compacted_page", "seed_boundary_id")
+
+
+def _next_backups(sessions: DataFrame, old: DataFrame) -> DataFrame:
+    """Records with the generation before in front of the backups, trimmed to the cap."""
+    kind = old.schema["backups"].dataType
+    none = F.array().cast(kind)
+    prior = old.select("session_id", F.slice(F.concat(F.array(F.struct(*_POINTERS)), F.coalesce("backups", none)), 1, KEEP_BACKUPS).alias("_b"))
+    rows = sessions.join(prior, "session_id", "left")
+    return rows.withColumn("backups", F.coalesce("_b", F.slice(F.coalesce("backups", none), 1, KEEP_BACKUPS))).select(sessions.columns)
+
+
 def _backed_up(old: SessionSet, new: SessionSet) -> SessionSet:
-    """New records with the generation before in front of the backups, trimmed to the cap."""
-    names = ("root_page", "references_page", "blob_map_page", "compacted_page", "seed_boundary_id")
-    prior = old.sessions.select("session_id", F.slice(F.concat(F.array(F.struct(*names)), F.coalesce("backups", F.array().cast(old.sessions.schema["backups"].dataType))), 1, KEEP_BACKUPS).alias("_b"))
-    rows = new.sessions.join(prior, "session_id", "left").withColumn("backups", F.coalesce("_b", F.slice(F.coalesce("backups", F.array().cast(old.sessions.schema["backups"].dataType)), 1, KEEP_BACKUPS)))
-    return new.with_(sessions=rows.select(new.sessions.columns))
+    return new.with_(sessions=_next_backups(new.sessions, old.sessions))
 
 
 @dataclass
@@ -188,15 +259,47 @@ class SessionRepository:
         return s if session_id is None else SessionSet(**{t: f.filter(F.col("session_id") == session_id) for t, f in s.frames().items()})
 
     def append(self, events: DataFrame) -> DataFrame:
-        """Append (session_id, seq, payload) to their sessions, in order of seq, in one commit; returns stale ids."""
-        old = self.catalog.load()
-        rows = materialize(sequence.minted(old.sessions, events))
+        """Append (session_id, seq, payload) to their sessions, in order of seq, in one commit; returns unknown ids.
+
+        Ids are minted above the counters of the records, so they are new to the lineage and
+        nothing but the records is read; only the new rows are written.  Where the new events
+        hold boundaries or markers, or orders would pass the safe integers, the touched
+        sessions are rewritten and validated as a whole.
+        """
+        doc = F.try_validate_utf8(F.col("payload").cast("string"))
+        kind = F.when(F.try_parse_json(doc).isNotNull(), F.get_json_object(doc, "$.type"))
+        point = F.coalesce(F.get_json_object(doc, "$.data.source.plugin") == "compact", F.lit(False))
+        events = materialize(events)
+        bound = events.filter(F.coalesce(kind.rlike("^(compaction|turn|session)/"), F.lit(False)) | point)
+        whole = bool(bound.limit(1).count())
+        while True:
+            version = self.catalog.head()
+            records = self.catalog.records(version)
+            rows = materialize(sequence.minted(records, events).select("session_id", "seq", "payload", "event_id", "blob_id"))
+            n = rows.groupBy("session_id").agg(F.count("*").alias("_n"))
+            mine = materialize(records.join(n, "session_id"))
+            if whole or mine.filter(F.col("_last") + F.col("_n") > 2.0**53).limit(1).count():
+                return self._append_whole(rows, version)
+            last = mine.select("session_id", F.coalesce("_last", F.lit(-1.0)).alias("_last"))
+            new = sequence.ranked(rows, "seq").join(last, "session_id").withColumn("order", F.col("_last") + 1 + F.col("rank"))
+            put = materialize(new.select("session_id", "order", "event_id", "blob_id", "payload"))
+            sessions = mine.withColumn("_last", F.coalesce("_last", F.lit(-1.0)) + F.col("_n"))
+            for c, by in (("next_event_counter", F.col("_n")), ("blob_id_watermark", F.col("_n")), ("revision", F.lit(1))):
+                sessions = sessions.withColumn(c, F.col(c) + by)
+            sessions = _next_backups(sessions, mine)
+            blank = {t: empty(self.catalog.spark, t) for t in ("references", "compacted")}
+            kept = [*empty(self.catalog.spark, "sessions").columns]
+            part = lambda no: SessionSet(sessions=sessions.select(*kept, F.lit(no).cast("long").alias("_part"), "_since", "_last"), entries=put.drop("payload"), blobs=put.select("session_id", "blob_id", "payload"), bindings=put.select("session_id", "event_id", "blob_id"), **blank)  # noqa: B023, E731
+            if not mine.limit(1).count() or self.catalog.extend(part, version, False):
+                return events.select("session_id").distinct().join(mine.select("session_id"), "session_id", "left_anti")
+
+    def _append_whole(self, rows: DataFrame, version: int) -> DataFrame:
+        old = self.catalog.load(version)
         entries, bad = sequence.append(old.entries.join(rows.select("session_id").distinct(), "session_id", "left_semi"), old.bindings, rows.select("session_id", "seq", "event_id", "blob_id"))
         if bad.limit(1).count():
             raise InvalidSessions("an event id was used before")
         n = rows.groupBy("session_id").agg(F.count("*").alias("_n"))
-        ids = n.select("session_id")
-        mine = _only(old, ids)
+        mine = _only(old, n.select("session_id"))
         sessions = mine.sessions.join(n, "session_id")
         for c, by in (("next_event_counter", F.col("_n")), ("blob_id_watermark", F.col("_n")), ("revision", F.lit(1))):
             sessions = sessions.withColumn(c, F.col(c) + by)
@@ -226,5 +329,9 @@ class SessionRepository:
         s = self.catalog.load()
         return needs_rebuild(state, s.compacted, s.entries)
 
-    def gc(self, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return gc.sweep(pages, gc.session_roots(self.catalog.load().sessions))
+    def gc(self, pages: DataFrame) -> DataFrame:
+        """Pages that records or backups lead to; faulty reachable pages stop the sweep."""
+        kept, faults = gc.sweep(pages, gc.session_roots(self.catalog.records()))
+        if first := faults.limit(5).collect():
+            raise InvalidSessions("; ".join(f"page {r.page_id}: {r.reason}" for r in first))
+        return kept

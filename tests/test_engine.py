@@ -304,4 +304,5 @@ def test_catalog_commits(spark, tmp_path):
     with pytest.raises(InvalidSessions):
         repo.catalog.commit(now.with_(sessions=now.sessions.withColumn("revision", F.lit(9).cast("long")), blobs=now.blobs.withColumn("payload", F.lit(b"changed"))), spark.createDataFrame([(SID, 2)], "session_id string, revision long"))
     repo.fork(spark.createDataFrame([(SID, "evt_s_1", "kid")], "session_id string, event_id string, child_id string"))
+    assert repo.catalog.vacuum(1) == [] and repo.catalog.merge() == 4  # parts are shared by generations until they are merged
     assert repo.catalog.has_session("kid") and len(repo.catalog.vacuum(1)) >= 1 and repo.load("kid").entries.count() == 2
