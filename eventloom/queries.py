@@ -484,6 +484,218 @@ def torn_tail_recovery(spark, d):
     return archive.recovered(rows).select("file", "seq")
 
 
+# -- more of sequences and rules, over whole sets of sessions ---------------------------
+@query(_E + "SELECT session_id, event_id, CASE WHEN rank <= 5 THEN 'left' ELSE 'right' END AS side FROM e")
+def seq_split_order(spark, d):
+    left, right = sequence.split_at_order(A.entries(A.event_log(spark, d)), 5.5)
+    return left.withColumn("side", F.lit("left")).unionByName(right.withColumn("side", F.lit("right"))).select("session_id", "event_id", "side")
+
+
+@query(_E + """, b AS (SELECT session_id, 2 AS lo, least(5, sz.n - 1) AS hi, sz.n AS n FROM sz WHERE sz.n > 2 AND (SELECT min(user_id) FROM e WHERE e.session_id = sz.session_id) % 5 <> 0),
+x AS (SELECT session_id, rank AS pos, 0 AS sub, event_id, blob_id FROM e LEFT JOIN b USING (session_id) WHERE b.lo IS NULL OR rank < lo OR rank > hi
+      UNION ALL SELECT session_id, lo, y, 'evt_' || session_id || '_' || (n + y), 'blob_new' FROM b, (SELECT unnest([0, 1]) AS y))
+SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY pos, sub) - 1)::BIGINT AS rank, event_id, blob_id FROM x""")
+def seq_replace_events(spark, d):
+    """Between two event ids; a fifth of the sessions name an id that isn't there and stay as they are."""
+    log = A.event_log(spark, d)
+    e = A.entries(log)
+    n = log.groupBy("session_id", "user_id").agg(F.count("*").alias("n")).filter("n > 2")
+    last = F.when(F.col("user_id") % 5 == 0, F.lit("gone")).otherwise(ids.event_id("session_id", F.least(F.lit(5), F.col("n") - 1)))
+    bounds = n.select("session_id", ids.event_id("session_id", F.lit(2)).alias("first_id"), last.alias("last_id"))
+    new = n.select("session_id", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("sub")).select("session_id", "sub", ids.event_id("session_id", F.col("n") + F.col("sub")).alias("event_id"), F.lit("blob_new").alias("blob_id"))
+    out, _ = sequence.replace_events(e, e.drop("order"), bounds, new)
+    return sequence.ranked(out).select("session_id", "rank", "event_id", "blob_id")
+
+
+def _records(log: DataFrame, **fields) -> DataFrame:
+    """One control record a session, valid but for ``fields`` (of user_id and n)."""
+    n = log.groupBy("session_id", "user_id").agg(F.count("*").alias("n"))
+    base = {"format_version": F.lit(1), "revision": F.lit(1).cast("long"), "next_event_counter": F.col("n"), "blob_id_watermark": F.col("n") - 1} | fields
+    return empty(log.sparkSession, "sessions").unionByName(n.withColumns(base).drop("user_id", "n"), allowMissingColumns=True)
+
+
+_U = ", u AS (SELECT session_id, min(user_id) AS u, count(*) AS n FROM e GROUP BY session_id)"
+
+
+@query(_E + _U + "SELECT session_id, 'record' AS rule, session_id AS subject FROM u WHERE u % 7 NOT IN (0, 6)")
+def record_rules(spark, d):
+    """Version, counter, folder, origin and time broken in turn; a record without a blob watermark is valid."""
+    k = F.col("user_id") % 7
+    rows = _records(A.event_log(spark, d), format_version=F.when(k == 1, 2).otherwise(1), next_event_counter=F.when(k == 2, -1).otherwise(F.col("n")).cast("long"), cwd=F.when(k == 3, "a/b").otherwise("/a"), origin=F.when(k == 4, "other"), created_at=F.when(k == 5, 2**53).otherwise(1).cast("long"), blob_id_watermark=F.when(k != 6, F.col("n")))
+    return validate.records(rows)
+
+
+def _summary(log: DataFrame, **fields) -> DataFrame:
+    """A valid summary of each session's first event, but for ``fields``."""
+    n = log.groupBy("session_id", "user_id").agg(F.count("*").alias("n"))
+    e = lambda i: ids.event_id("session_id", F.lit(i))
+    base = {
+        "ord": F.lit(0), "compaction_id": F.lit("c1"), "checkpoint_event_id": e(2), "markers": F.struct(e(0).alias("start_event_id"), e(1).alias("summary_event_id"), e(4).alias("end_event_id")),
+        "shadowed_range": F.struct(e(8).alias("start_id"), e(9).alias("end_id")), "shadowed_ids": F.array(e(8), e(9)), "shadowed_seq_range": F.struct(F.lit(1).cast("long").alias("start"), F.lit(2).cast("long").alias("end")), "shadowed_seqs": F.array(F.lit(1), F.lit(2)).cast("array<long>"),
+        "summary": F.lit('[{"type":"text","text":"t"}]'), "shadowed_token_count": F.lit(3).cast("long"), "provider": F.lit("p"), "model": F.lit("m"),
+    } | fields
+    return empty(log.sparkSession, "compacted").unionByName(n.withColumns(base).drop("user_id", "n"), allowMissingColumns=True)
+
+
+@query(_E + _U + "SELECT session_id, 'summary-shape' AS rule, 'c1' AS subject FROM u WHERE u % 7 BETWEEN 1 AND 5")
+def summary_shape_rules(spark, d):
+    """Ids, range, seqs, count and content blocks broken in turn; an empty provider is valid."""
+    k, e = F.col("user_id") % 7, ids.event_id("session_id", F.lit(8))
+    rows = _summary(
+        A.event_log(spark, d), shadowed_ids=F.when(k == 1, F.array().cast("array<string>")).when(k == 2, F.array(e)).otherwise(F.array(e, ids.event_id("session_id", F.lit(9)))), shadowed_seqs=F.when(k == 3, F.array(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2))).cast("array<long>"),
+        shadowed_token_count=F.when(k == 4, -1).otherwise(3).cast("long"), summary=F.when(k == 5, '[{"type":"text"}]').otherwise('[{"type":"text","text":"t"}]'), provider=F.when(k == 6, "").otherwise("p"),
+    )
+    return validate.summaries(rows)
+
+
+@query(_E + _U + "SELECT session_id, 'counter' AS rule, (n - 1)::VARCHAR AS subject FROM u WHERE u % 2 = 1 UNION ALL SELECT session_id, 'blob-watermark', (n - 1)::VARCHAR FROM u WHERE u % 3 = 0")
+def counter_rules(spark, d):
+    log = A.event_log(spark, d)
+    s = _records(log, next_event_counter=F.col("n") - F.col("user_id") % 2, blob_id_watermark=F.col("n") - 1 - F.when(F.col("user_id") % 3 == 0, 1).otherwise(0))
+    none = {t: empty(spark, t) for t in ("references", "bindings", "compacted")}
+    return validate.counters(SessionSet(sessions=s, entries=A.entries(log), blobs=log.select("session_id", "blob_id", F.lit(b"").alias("payload")), **none))
+
+
+@query(_E + _U + """, g AS (SELECT * FROM u WHERE n > 4)
+SELECT session_id, 'marker-shared' AS rule, 'evt_' || session_id || '_0' AS subject FROM g WHERE u % 3 = 1 UNION ALL SELECT session_id, 'marker-order', 'c1' FROM g WHERE u % 3 = 1
+UNION ALL SELECT session_id, 'marker-missing', 'gone' FROM g WHERE u % 3 = 2""")
+def marker_rules(spark, d):
+    log = A.event_log(spark, d)
+    k, e = F.col("user_id") % 3, lambda i: ids.event_id("session_id", F.lit(i))
+    long = log.groupBy("session_id").count().filter("count > 4")
+    rows = _summary(log, markers=F.struct(e(0).alias("start_event_id"), e(1).alias("summary_event_id"), F.when(k == 1, e(0)).when(k == 2, "gone").otherwise(e(4)).alias("end_event_id")))
+    return validate.markers(rows.join(long, "session_id", "left_semi"), log.select("session_id", "event_id", "rank"))
+
+
+@query(_E + "SELECT sh.session_id AS session_id, 'shadowed-live' AS rule, sh.event_id AS subject FROM sh JOIN e ON e.session_id = sh.session_id AND e.event_id = sh.event_id WHERE e.n % 3 = 0")
+def shadowed_live_rules(spark, d):
+    """Of the shadowed events a third is still in the tree."""
+    log = A.event_log(spark, d)
+    gone = _shadow(log).groupBy("session_id").agg(F.collect_list("event_id").alias("shadowed_ids"))
+    return validate.shadowed_live(gone, A.entries(log.filter("n % 3 = 0")))
+
+
+@query(_E + _U + "SELECT session_id, 'seed-boundary' AS rule, 'evt_' || session_id || '_' || (n + 7) AS subject FROM u WHERE u % 2 = 1")
+def seed_boundary_rules(spark, d):
+    log = A.event_log(spark, d)
+    return validate.seed_boundary(_records(log, seed_boundary_id=ids.event_id("session_id", F.when(F.col("user_id") % 2 == 1, F.col("n") + 7).otherwise(F.lit(0)))), A.entries(log))
+
+
+@query(_E + _U + """SELECT session_id, 'binding-lost' AS rule, event_id AS subject FROM e WHERE n % 13 = 0 UNION ALL SELECT session_id, 'rebound', event_id FROM e WHERE n % 17 = 0 AND n % 13 <> 0
+UNION ALL SELECT session_id, 'foreign-id', 'x_' || session_id FROM u WHERE u % 2 = 0""")
+def commit_binding_rules(spark, d):
+    """A commit that loses bindings, rebinds others and brings ids of another session."""
+    log = A.event_log(spark, d)
+    none = {t: empty(spark, t) for t in ("blobs", "references", "compacted")}
+    held = log.select("session_id", "event_id", "blob_id")
+    now = log.filter("n % 13 <> 0").select("session_id", "event_id", F.when(F.col("n") % 17 == 0, "other").otherwise(F.col("blob_id")).alias("blob_id"))
+    foreign = log.filter("rank = 0 and user_id % 2 = 0").select("session_id", F.lit(1e6).alias("order"), F.concat(F.lit("x_"), "session_id").alias("event_id"), "blob_id")
+    before = SessionSet(sessions=_records(log), entries=A.entries(log), bindings=held, **none)
+    return validate.commit_changes(before, SessionSet(sessions=_records(log), entries=A.entries(log).unionByName(foreign), bindings=now, **none))
+
+
+def _marker_payloads(k: int) -> list[str]:
+    """Start, summary, checkpoint and end of one compaction as JSON; k breaks one rule (0: none)."""
+    import json
+
+    turn = 4 if k == 5 else None
+    src = {"kind": "plugin", "plugin": "compact", "compactionId": "c1"}
+    more = {"sourceCommandId": "x"} if k == 4 else {}
+    return [
+        json.dumps({"type": "compaction/other" if k == 1 else "compaction/start", "time": 1, "data": {"compactionId": "c1", "turn": turn}}),
+        json.dumps({"type": "compaction/summary", "time": 1, "data": {"compactionId": "c1", "summary": [{"type": "text", "text": "t"}], "shadowedRange": {"start": 1, "end": 2}, "shadowedSeqs": [1, 2], "shadowedTokenCount": 3, "provider": "q" if k == 3 else "p", "model": "m"} | more}),
+        json.dumps({"type": "user/message", "time": 1, "data": {"id": "m", "role": "assistant" if k == 2 else "user", "content": [], "source": src}, "surfaceOp": {"op": "replace", "start": 1, "end": 2}, "sourceEventSeqs": [1, 2]}),
+        json.dumps({"type": "compaction/end", "time": 1, "data": {"compactionId": "c1", "turn": turn}}),
+    ]
+
+
+@query(_E + _U + """SELECT session_id, CASE u % 6 WHEN 1 THEN 'marker-envelope' WHEN 2 THEN 'checkpoint-envelope' WHEN 3 THEN 'summary-payload' WHEN 4 THEN 'command' ELSE 'turn' END AS rule,
+  CASE u % 6 WHEN 1 THEN 'evt_' || session_id || '_0' WHEN 2 THEN 'evt_' || session_id || '_2' WHEN 3 THEN 'evt_' || session_id || '_1' WHEN 4 THEN 'evt_' || session_id || '_1' ELSE 'c1' END AS subject FROM u WHERE u % 6 > 0""")
+def marker_envelope_rules(spark, d):
+    """Four marker events a session, whose payloads break one rule by user."""
+    log = A.event_log(spark, d)
+    scripts = spark.createDataFrame([(k, i, p) for k in range(6) for i, p in enumerate(_marker_payloads(k))], "k long, i int, doc string")
+    users = log.select("session_id", "user_id").distinct().withColumn("k", F.col("user_id") % 6)
+    at = F.when(F.col("i") == 3, 4).otherwise(F.col("i"))
+    rows = users.join(F.broadcast(scripts), "k").select("session_id", at.cast("double").alias("order"), ids.event_id("session_id", at).alias("event_id"), ids.blob_id(at).alias("blob_id"), F.col("doc").cast("binary").alias("payload"))
+    entries, blobs = rows.drop("payload"), rows.select("session_id", "blob_id", "payload")
+    s = SessionSet(sessions=_records(log), entries=entries, blobs=blobs, references=empty(spark, "references"), bindings=entries.drop("order"), compacted=_summary(log))
+    return validate.marker_envelopes(s, materialize(envelope.envelopes(entries, blobs)))
+
+
+# -- whole transactions ----------------------------------------------------------------
+def _plain_sessions(log: DataFrame, **fields) -> SessionSet:
+    """The event log with payloads: surface events are messages, the others plain notes."""
+    spark = log.sparkSession
+    doc = F.to_json(F.struct(F.when(F.col("surface"), "user/message").otherwise("note").alias("type"), F.lit(1).alias("time"), F.struct(F.col("n").alias("text")).alias("data"), F.when(F.col("surface"), "append").alias("surfaceOp")))
+    blobs = log.select("session_id", "blob_id", doc.cast("binary").alias("payload"))
+    return SessionSet(_records(log, **fields), A.entries(log), blobs, A.references(log), log.select("session_id", "event_id", "blob_id"), empty(spark, "compacted"))
+
+
+@query(_E + "SELECT session_id, rank, event_id, blob_id FROM ce UNION ALL SELECT session_id, rank, event_id, blob_id FROM e WHERE session_id NOT IN (SELECT session_id FROM sp)")
+def compact_sessions(spark, d):
+    """The whole transaction with its guards: sessions without a request stay."""
+    log = A.event_log(spark, d)
+    s, requests = _plain_sessions(log), materialize(_requests(log))
+    put = requests.select("session_id", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"{r}_blob").alias("blob_id")) for i, r in enumerate(compaction.ROLES)))).alias("x")).select("session_id", "x.*")
+    docs = spark.createDataFrame(list(enumerate(_marker_payloads(0))), "i int, doc string")
+    more = put.join(F.broadcast(docs), "i").select("session_id", "blob_id", F.col("doc").cast("binary").alias("payload"))
+    out, _ = compaction.compact(s.with_(blobs=s.blobs.unionByName(more)), requests, _summary(log))
+    return sequence.ranked(out.entries).select("session_id", "rank", "event_id", "blob_id")
+
+
+@query(_E + _F + "SELECT child_id AS session_id, event_id, blob_id, rank FROM f")
+def fork_sessions(spark, d):
+    log = A.event_log(spark, d)
+    child, _ = fork.fork(_plain_sessions(log), _boundaries(log))
+    return sequence.ranked(child.entries).select("session_id", "event_id", "blob_id", "rank")
+
+
+@query(_E + "SELECT session_id, count(*)::BIGINT AS n_entries, md5(string_agg(event_id || ':' || blob_id, ',' ORDER BY rank)) AS entries_md5 FROM e GROUP BY session_id")
+def archive_files(spark, d):
+    """Written to files of many sessions each and read back."""
+    import uuid
+
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex[:12]}"
+    archive.write(_plain_sessions(A.event_log(spark, d)), folder)
+    back, _ = archive.read(spark, folder, strict=False)
+    pairs = F.array_sort(F.collect_list(F.struct("order", F.concat("event_id", F.lit(":"), "blob_id").alias("x"))))
+    return back.entries.groupBy("session_id").agg(F.count("*").alias("n_entries"), F.md5(F.array_join(F.transform(pairs, lambda p: p["x"]), ",").cast("binary")).alias("entries_md5"))
+
+
+def _repository(spark):
+    import uuid
+
+    from .sources.catalog import Catalog, SessionRepository
+
+    return SessionRepository(Catalog(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex[:12]}"))
+
+
+@query(_E + "SELECT session_id, 2::BIGINT AS revision, rank, event_id, blob_id FROM e WHERE (SELECT n FROM sz WHERE sz.session_id = e.session_id) > 1 UNION ALL SELECT session_id, 1, rank, event_id, blob_id FROM e WHERE (SELECT n FROM sz WHERE sz.session_id = e.session_id) = 1")
+def commit_append(spark, d):
+    """The first half of each session is registered, the rest appended in one incremental commit."""
+    log = A.event_log(spark, d)
+    n = log.groupBy("session_id").agg(F.ceil(F.count("*") / 2).alias("half"))
+    log = materialize(log.join(n, "session_id"))
+    first = log.filter("rank < half")
+    repo = _repository(spark)
+    repo.create(_plain_sessions(first).with_(references=empty(spark, "references")))
+    repo.append(log.filter("rank >= half").select("session_id", F.col("n").alias("seq"), F.concat(F.lit("event-"), F.col("n").cast("string")).cast("binary").alias("payload")))
+    now = repo.load()
+    return sequence.ranked(now.entries).join(now.sessions.select("session_id", "revision"), "session_id").select("session_id", "revision", "rank", "event_id", "blob_id")
+
+
+@query(_E + _U + "SELECT session_id, CASE WHEN u % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS revision, u % 2 = 1 AS stale FROM u")
+def commit_compare_and_swap(spark, d):
+    """Every session is committed again; the odd users' committers expect a revision that isn't stored."""
+    log = A.event_log(spark, d)
+    s, repo = _plain_sessions(log), _repository(spark)
+    repo.create(s)
+    expected = log.select("session_id", "user_id").distinct().select("session_id", (F.col("user_id") % 2 + 1).cast("long").alias("revision"))
+    stale = repo.catalog.commit(s.with_(sessions=_records(log, revision=F.lit(2).cast("long"))), expected)
+    return repo.load().sessions.select("session_id", "revision").join(stale.withColumn("stale", F.lit(True)), "session_id", "left").select("session_id", "revision", F.coalesce("stale", F.lit(False)).alias("stale"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
