@@ -80,8 +80,9 @@ class WordEncoder:
         parts = [self._base(w) if "<|" not in w else (w, "") for w in words]
         ids = self.ids
         new = list(dict.fromkeys(x for p in parts for x in p if x and x not in ids))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
+        step = self.most // 12  # encodings of the library are large
+        for at in range(0, len(new), step):
+            some = new[at : at + step]
             for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 ids[w] = np.array(e.ids, "<u4").tobytes()
         return [ids[a] + ids[b] if b else ids[a] for a, b in parts]
