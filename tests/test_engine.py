@@ -306,3 +306,93 @@ def test_catalog_commits(spark, tmp_path):
     repo.fork(spark.createDataFrame([(SID, "evt_s_1", "kid")], "session_id string, event_id string, child_id string"))
     assert repo.catalog.vacuum(1) == [] and repo.catalog.merge() == 4  # parts are shared by generations until they are merged
     assert repo.catalog.has_session("kid") and len(repo.catalog.vacuum(1)) >= 1 and repo.load("kid").entries.count() == 2
+
+
+# -- losses -------------------------------------------------------------------------
+def test_ranks_keep_every_row(spark):
+    e = spark.createDataFrame([(SID, 1.0, "a", "b"), (SID, None, "c", "b"), (None, 0.0, "d", "b")], ENTRIES)
+    assert {r.event_id: r.rank for r in sequence.ranked(e).collect()} == {"a": 0, "c": None, "d": 0}
+
+
+@pytest.mark.parametrize("last, count, dense", [(2.0**53 - 6, 11, True), (2.0**53 - 6, 3, False), (-(2.0**60), 2, True), (2.5, 2, False)])
+def test_batch_append_equals_single_appends(spark, last, count, dense):
+    e = entries(spark, [(SID, last, "evt_s_0")])
+    new = spark.createDataFrame([(SID, i, f"evt_s_{i + 1}", "b") for i in range(count)], "session_id string, seq long, event_id string, blob_id string")
+    out, bad = sequence.append(e, e.drop("order"), new)
+    orders = sorted(r.order for r in out.collect())
+    assert not bad.count() and orders == ([float(i) for i in range(count + 1)] if dense else [last + i for i in range(count + 1)])
+    assert not sequence.violations(out).count()
+
+
+def test_replace_between_events(spark):
+    bounds = lambda a, b: spark.createDataFrame([(SID, a, b)], "session_id string, first_id string, last_id string")
+    new = lambda x: spark.createDataFrame([(SID, 0, x, "b")], "session_id string, sub int, event_id string, blob_id string")
+    e = ten(spark)
+    run = lambda a, b, x: sequence.replace_events(e, e.drop("order"), bounds(a, b), new(x))
+    out, bad = run("evt_s_2", "evt_s_5", "n0")
+    assert not bad.count() and listed(out)[SID] == ["evt_s_0", "evt_s_1", "n0", "evt_s_6", "evt_s_7", "evt_s_8", "evt_s_9"]
+    for args, rule in ((("evt_s_5", "evt_s_2", "n0"), "range-inverted"), (("evt_s_5", "gone", "n0"), "unknown-event"), (("evt_s_2", "evt_s_5", "evt_s_3"), "event-reused")):
+        out, bad = run(*args)
+        assert {r.rule for r in bad.collect()} == {rule} and out.count() == 10
+
+
+def test_split_refuses(spark):
+    with pytest.raises(ValueError):
+        sequence.split_at_order(ten(spark), float("inf"))
+    with pytest.raises(ValueError):
+        sequence.split_at_event(ten(spark), spark.createDataFrame([(SID, "gone")], "session_id string, event_id string"))
+
+
+def test_sweep_stops_at_missing_pages(spark):
+    pages = spark.createDataFrame([("a", b'{"kind":"internal","children":["b"]}'), ("x", b'{"kind":"leaf"}')], "page_id string, payload binary")
+    kept, faults = gc.sweep(pages, spark.createDataFrame([("a",)], "page_id string"))
+    assert kept.count() == 2 and [(r.page_id, r.reason) for r in faults.collect()] == [("b", "missing")]
+
+
+def test_archive_files_of_many_sessions(spark, tmp_path):
+    one = session_set(spark, {0: surface(0), 1: surface(1)}, counter=2)
+    other = lambda f: f.unionByName(f.withColumn("session_id", F.lit("t"))).unionByName(f.withColumn("session_id", F.lit("u")))
+    s = SessionSet(**{k: other(f) for k, f in one.frames().items()})
+    archive.write(s.with_(sessions=s.sessions.coalesce(1)), str(tmp_path / "a"))
+    back, bad = archive.read(spark, str(tmp_path / "a"), strict=False)
+    assert not bad.count() and {r.session_id for r in back.sessions.collect()} == {SID, "t", "u"}
+    for name, frame in s.frames().items():
+        assert sorted(map(repr, getattr(back, name).select(frame.columns).collect())) == sorted(map(repr, frame.collect())), name
+
+
+def test_bindings_only_grow(spark):
+    s = session_set(spark, {0: surface(0), 1: surface(1)}, counter=2)
+    lost = validate.commit_changes(s, s.with_(bindings=s.bindings.filter("event_id <> 'evt_s_0'")))
+    assert [(r.rule, r.subject) for r in lost.collect()] == [("binding-lost", "evt_s_0")]
+    moved = validate.commit_changes(s, s.with_(bindings=s.bindings.withColumn("blob_id", F.lit("blob_9"))))
+    assert {r.rule for r in moved.collect()} == {"rebound"}
+
+
+def test_unclaimed_start_inside_a_claimed_bracket(spark):
+    row = lambda rank, kind, until=None: (SID, rank, f"e{rank}", kind, "c", None, True, None, False, False, until)
+    names = "session_id string, rank long, event_id string, type string, compaction_id string, turn string, has_turn boolean, command string, has_error boolean, is_checkpoint boolean, until long"
+    bad = lambda *rows: [r.subject for r in validate.transactions(spark.createDataFrame(list(rows), names)).collect()]
+    assert bad(row(0, "claimed", 4), row(2, "compaction/start")) == ["e2"]
+    assert bad(row(0, "claimed", 4), row(5, "compaction/start")) == []
+    assert bad(row(0, "compaction/start"), row(1, "claimed", 3)) == ["e1"]
+
+
+def test_appends_write_what_they_add(spark, tmp_path):
+    repo = SessionRepository(Catalog(spark, str(tmp_path / "store")))
+    one = session_set(spark, {0: surface(0), 1: surface(1)}, counter=2)
+    many = lambda f: f.crossJoin(spark.range(50)).withColumn("session_id", F.concat(F.lit("s"), F.col("id").cast("string"))).drop("id")
+    s = SessionSet(**{k: many(f) for k, f in one.frames().items()})
+    ids_ = s.sessions.select("session_id")
+    rename = lambda f: f.withColumn("event_id", F.concat(F.lit("evt_"), "session_id", F.lit("_"), F.regexp_extract("event_id", "[0-9]+$", 0)))
+    repo.create(s.with_(entries=rename(s.entries), bindings=rename(s.bindings)))
+    assert ids_.count() == 50
+    for k in range(2):
+        lost = repo.append(spark.createDataFrame([("s7", 1, surface(5)), ("nobody", 1, surface(5))], "session_id string, seq long, payload binary"))
+        assert [r.session_id for r in lost.collect()] == ["nobody"]
+    parts = repo.catalog._manifest(repo.catalog.head())
+    assert len(parts) == 3 and parts[-1]["tables"] == ["sessions", "entries", "blobs", "bindings"]
+    rows = {t: spark.read.parquet(str(tmp_path / "store" / "data" / parts[-1]["name"] / t)).count() for t in parts[-1]["tables"]}
+    assert set(rows.values()) == {1}
+    now = repo.load("s7")
+    assert listed(now.entries)["s7"] == [f"evt_s7_{i}" for i in range(4)] and now.sessions.first().revision == 3
+    assert not validate.violations(now).count() and repo.load().entries.count() == 102
