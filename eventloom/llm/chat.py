@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow
+
 TURN, END = "<|turn|>", "<|end|>"
 #: Control strings (fixed values): those of the template and of common chat templates.
 CONTROL = ("<|turn|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
-_PIECE = re.compile(r"<\|turn\|>((?:[^\\\n]|\\.)*)\n((?:[^\\]|\\.)*?)<\|end\|>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -51,14 +52,22 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each message of a formatted conversation."""
+    """(role, text) of each message of a formatted conversation; memory is that of the text."""
     out, at = [], 0
     while at < len(formatted):
-        m = _PIECE.match(formatted, at)
-        if m is None:
+        line, end = at + len(TURN), -1
+        while formatted.startswith(TURN, at) and (line := formatted.find("\n", line)) >= 0:
+            before = line
+            while formatted[before - 1] == "\\":
+                before -= 1
+            if (line - before) % 2 == 0:  # no line end of the role
+                end = formatted.find(END + "\n", line + 1)  # escaped texts hold no control string
+                break
+            line += 1
+        if end < 0:
             raise ValueError("not a formatted conversation")
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
+        out.append((unescape(formatted[at + len(TURN) : line]), unescape(formatted[line + 1 : end])))
+        at = end + len(END) + 1
     return out
 
 

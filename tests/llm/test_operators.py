@@ -170,6 +170,64 @@ def test_components(spark):
     assert out == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
 
 
+def test_components_in_rounds(spark, monkeypatch):
+    """Lists that do not fit one contracting task."""
+    monkeypatch.setattr(common, "_CHUNK_EDGES", 6)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(129, 300), (300, 200), (7, 7)]
+    out = {r.node: r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert out == {i: 0 for i in range(41)} | {i: 100 for i in (*range(100, 130), 200, 300)}
+
+
+def test_near_duplicates_beyond_a_task_node(spark, monkeypatch):
+    """Nodes that are too large for one task go to the last depth by their whole path."""
+    monkeypatch.setattr(neardup, "TASK_NODE", 40)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = {}
+    for k in range(130):
+        w = list(base)
+        for i in rng.integers(0, 120, 3):
+            w[i] = f"x{k}_{i}"
+        texts[k] = " ".join(w)
+    check_components(got(neardup.near_duplicates(frame(spark, texts, False))), texts)
+
+
+def test_scratch_tables_have_owners(spark):
+    import os
+
+    mine = common.pin(spark.range(3), "mine")
+    with common.Scratch(spark) as owner:
+        other = common.pin(spark.range(4), "other")
+    folder = owner.paths[0]
+    assert other.count() == 4 and os.path.isdir(folder.removeprefix("file:"))
+    owner.free()
+    assert mine.count() == 3 and not os.path.isdir(folder.removeprefix("file:"))
+
+
+@pytest.mark.parametrize("text", ["\u00bd \u00b2 \u2167", "12 _ !", " "])
+def test_signs_without_a_letter_have_no_language(spark, text):
+    rows = [(i, f"abc {i} def", "aa") for i in range(30)] + [(100, text, None)]
+    out = got(langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert (out[100].lang_pred, out[100].score) == ("und", 0.0) and out[0].lang_pred == "aa"
+
+
+def test_pipeline_keeps_clashing_columns(spark, texts, tmp_path):
+    import corpus_pipeline as p
+
+    rows = [(k, t, "en", "s", len(t or ""), 0.5, "x", True, k, 7, "n") for k, t in list(texts.items())[:20]]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, kept boolean, starts long, n_lines int, _r string")
+    spark.createDataFrame([(1, "nothing that any of these documents says at all today my friend")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = docs
+    for k, (name, stage) in enumerate(p.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        out.write.parquet(str(tmp_path / f"{k}{name}"))
+        now = spark.read.parquet(str(tmp_path / f"{k}{name}"))
+        if k < len(p.STAGES) - 1:
+            assert out.columns == docs.columns, name
+            assert all((r.score, r.lang_pred, r.kept, r.starts, r.n_lines, r._r) == (0.5, "x", True, r.doc_id, 7, "n") for r in now.collect()), name
+    assert now.count() > 0
+
+
 @pytest.mark.parametrize("size", [1, 2, 3])
 def test_line_dedup(spark, texts, size):
     out = got(linededup.line_dedup(frame(spark, texts), size))
@@ -325,6 +383,19 @@ def test_chat(spark):
     assert chat.digests(events.filter("false")).count() == 0
 
 
+def test_formatted_messages_read_back():
+    rng = np.random.default_rng(12)
+    bits = ["<", "|end|>", "<|end|>", "\\", "\n", "<|turn|>", "a", "</s>", "[INST]", "|", ">"]
+    for _ in range(500):
+        turns = [("".join(rng.choice(bits, rng.integers(0, 6))), "".join(rng.choice(bits, rng.integers(0, 9)))) for _ in range(3)]
+        assert chat.parse("".join(chat.render(*t)[0] for t in turns)) == turns
+    for bad in ("x", "<|turn|>user", "<|turn|>user\ntext"):
+        with pytest.raises(ValueError):
+            chat.parse(bad)
+    long = "x\\" * 4_000_000
+    assert chat.parse(chat.render("user", long)[0]) == [("user", long)]
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 100)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
