@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker; bounds its memory.
 SLICE_BYTES = 1 << 20
-#: Folders of the scratch tables that ``Scratch`` objects now in force own.
-_owners: list[Scratch] = []
+#: The ``Scratch`` objects in force, in this thread only.
+_owners: ContextVar[tuple[Scratch, ...]] = ContextVar("owners", default=())
 
 
 class Scratch:
@@ -29,11 +30,11 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Scratch:
-        _owners.append(self)
+        _owners.set((*_owners.get(), self))
         return self
 
     def __exit__(self, *_) -> None:
-        _owners.remove(self)
+        _owners.set(tuple(x for x in _owners.get() if x is not self))
 
     def free(self) -> None:
         while self.paths:
@@ -59,8 +60,8 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
     path = f"{shared_folder(spark)}/eventloom-{uuid.uuid4().hex[:12]}-{name}"
-    if _owners:
-        _owners[-1].paths.append(path)
+    if owners := _owners.get():
+        owners[-1].paths.append(path)
     return path
 
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -198,10 +199,12 @@ def test_scratch_tables_have_owners(spark):
     mine = common.pin(spark.range(3), "mine")
     with common.Scratch(spark) as owner:
         other = common.pin(spark.range(4), "other")
+        with ThreadPoolExecutor(1) as pool:  # another thread's tables are its own
+            apart = pool.submit(lambda: common.pin(spark.range(5), "apart")).result()
     folder = owner.paths[0]
-    assert other.count() == 4 and os.path.isdir(folder.removeprefix("file:"))
+    assert len(owner.paths) == 1 and other.count() == 4 and os.path.isdir(folder.removeprefix("file:"))
     owner.free()
-    assert mine.count() == 3 and not os.path.isdir(folder.removeprefix("file:"))
+    assert mine.count() == 3 and apart.count() == 5 and not os.path.isdir(folder.removeprefix("file:"))
 
 
 @pytest.mark.parametrize("text", ["\u00bd \u00b2 \u2167", "12 _ !", " "])
