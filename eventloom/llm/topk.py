@@ -1,10 +1,14 @@
 """Exact top-k inner-product search by ball trees.
 
-Rows are dealt to shards of about ``SHARD_ROWS`` vectors; each shard builds a ball tree
-once and stores it.  Queries come in blocks.  A block meets the shards in waves of 1, 2,
-4, ... shards; in a shard, nodes are taken in the order of their upper bound
-q.c + |q| r and skipped when the bound is below the query's current k-th score, which is
-carried from leaf to leaf and, by a join, from wave to wave.
+Rows are dealt to shards of about ``SHARD_ROWS`` vectors; each shard's ball tree is built
+once and stored.  Queries come in blocks, which travel to the trees.  A block meets the
+shards in waves of 1, 2, 4, ... shards; in a shard, nodes are taken in the order of their
+upper bound q.c + |q| r and skipped when the bound is below the query's current k-th
+score, which is carried from leaf to leaf and, by a join, from wave to wave.
+
+A wave moves a tree once for every ``ROUND`` blocks that meet it and holds one tree and
+one block of a task in memory.  Every block meets every shard, so the work is queries
+times shards, whatever share of it the bounds save.
 
 Vectors are made integers, floor(256 x); scores are exact (double arithmetic below 2**53,
 Python integers beyond, limited to the range of a long).
@@ -30,6 +34,8 @@ from .common import arrow, pin
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 512
+#: Blocks for which a tree is sent once in a wave.
+ROUND = 64
 LEAF = 64
 SCALE = 256
 _EXACT = 2.0**53
@@ -70,6 +76,21 @@ class BallTree:
         build(0, len(ids))
         self.ids, self.x, self.c, self.r = ids[order], x[order], np.array(centers), np.array(radii)
 
+    def dump(self) -> tuple[bytes, bytes, bytes, bytes]:
+        """(ids, vectors, node links, centres with radii), as stored."""
+        links = np.array([self.start, self.end, self.left, self.right], "<i4")
+        return self.ids.astype("<i8").tobytes(), self.x.astype("<f8").tobytes(), links.tobytes(), np.column_stack([self.c, self.r]).astype("<f8").tobytes()
+
+    @classmethod
+    def load(cls, dim: int, ids: bytes, x: bytes, links: bytes, balls: bytes) -> BallTree:
+        tree = cls.__new__(cls)
+        tree.ids = np.frombuffer(ids, "<i8")
+        tree.x = np.frombuffer(x, "<f8").reshape(len(tree.ids), dim)
+        tree.start, tree.end, tree.left, tree.right = np.frombuffer(links, "<i4").reshape(4, -1).tolist()
+        ball = np.frombuffer(balls, "<f8").reshape(-1, dim + 1)
+        tree.c, tree.r = ball[:, :dim], ball[:, dim]
+        return tree
+
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products."""
@@ -123,54 +144,66 @@ def _matrix(batch: pa.RecordBatch, name: str, dim: int) -> np.ndarray:
     return np.asarray(batch.column(batch.schema.get_field_index(name)).flatten()).reshape(batch.num_rows, dim)
 
 
-_PACK_PA = pa.schema([("dim", pa.int32()), ("part", pa.int64()), ("ids", pa.binary()), ("x", pa.binary())])
+_PACK_PA = pa.schema([("dim", pa.int32()), ("part", pa.int64()), ("ids", pa.binary()), ("x", pa.binary()), ("links", pa.binary()), ("balls", pa.binary())])
+_PACK = "dim int, part long, ids binary, x binary, links binary, balls binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with one (dim, part) stand together; each group becomes one row."""
-    key, ids, xs = None, [], []
+def _pack(trees: bool):
+    """Rows with one (dim, part) stand together; each group becomes one row, in the order of its ball tree if ``trees``."""
 
-    def done():
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([b"".join(ids)]), pa.array([b"".join(xs)])], schema=_PACK_PA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, xs = None, [], []
 
-    for batch in batches:
-        dim, part = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-        cuts = [0, *(np.flatnonzero((np.diff(dim) != 0) | (np.diff(part) != 0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b == a:
-                continue
-            if key != (dim[a], part[a]):
-                if key is not None:
-                    yield done()
-                key, ids, xs = (dim[a], part[a]), [], []
-            piece = batch.slice(a, b - a)
-            ids.append(np.asarray(piece.column(0)).astype("<i8").tobytes())
-            xs.append(np.floor(SCALE * _matrix(piece, "v", int(dim[a]))).astype("<f8").tobytes())
-    if key is not None:
-        yield done()
+        def done():
+            i, x = np.concatenate(ids), np.concatenate(xs)
+            row = BallTree(i, x).dump() if trees else (i.astype("<i8").tobytes(), x.astype("<f8").tobytes(), None, None)
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, *row), _PACK_PA, strict=True)], schema=_PACK_PA)
 
+        for batch in batches:
+            dim, part = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            cuts = [0, *(np.flatnonzero((np.diff(dim) != 0) | (np.diff(part) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if b == a:
+                    continue
+                if key != (dim[a], part[a]):
+                    if key is not None:
+                        yield done()
+                    key, ids, xs = (dim[a], part[a]), [], []
+                piece = batch.slice(a, b - a)
+                ids.append(np.asarray(piece.column(0)))
+                xs.append(np.floor(SCALE * _matrix(piece, "v", int(dim[a]))))
+        if key is not None:
+            yield done()
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """(dim, part, ids, x): rows dealt by a hash to parts of about ``size``; parts of one length are numbered from 0."""
+    return run
+
+
+def _packed(rows: DataFrame, size: int, name: str, trees: bool) -> DataFrame:
+    """(dim, part, ids, x, links, balls): rows dealt by a hash to parts of about ``size``; parts of one length are numbered from 0."""
     n = rows.groupBy("dim").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("long").alias("parts"))
     rows = rows.join(F.broadcast(n), "dim").select("vec_id", "v", "dim", F.expr("pmod(xxhash64(vec_id), parts)").alias("part"))
     to = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pin(arrow(rows.repartition(to, "dim", "part").sortWithinPartitions("dim", "part", "vec_id"), _pack, "dim int, part long, ids binary, x binary"), name)
+    return pin(arrow(rows.repartition(to, "dim", "part").sortWithinPartitions("dim", "part", "vec_id"), _pack(trees), _PACK), name)
 
 
 def _search(k: int):
+    """Each tree stands before the blocks that meet it; one tree and one block are held at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tree = None, None
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                (r,) = batch.slice(i, 1).to_pylist()
                 d = r["dim"]
+                if r["links"] is not None:
+                    held, tree = (d, r["part"]), BallTree.load(d, r["ids"], r["x"], r["links"], r["balls"])
+                    continue
                 if held != (d, r["part"]):
-                    ids = np.frombuffer(r["ids"], "<i8")
-                    held, tree = (d, r["part"]), BallTree(ids, np.frombuffer(r["x"], "<f8").reshape(len(ids), d))
-                qid = np.frombuffer(r["qids"], "<i8")
+                    raise RuntimeError("a block without its tree")
+                qid = np.frombuffer(r["ids"], "<i8")
                 known = dict(zip(r["kq"] or [], r["ks"] or [], strict=True))
                 kth = np.array([known.get(i, -_LONG - 1) for i in qid.tolist()], np.float64)
-                s, w = search(tree, qid, np.frombuffer(r["q"], "<f8").reshape(len(qid), d), kth, k)
+                s, w = search(tree, qid, np.frombuffer(r["x"], "<f8").reshape(len(qid), d), kth, k)
                 row, col = np.nonzero(w != _LONG)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[row]), pa.array(w[row, col]), pa.array(s[row, col])], names=["query_id", "vec_id", "score"])
 
@@ -179,8 +212,8 @@ def _search(k: int):
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of every query; both frames as of ``valid_vectors``."""
-    shards = _packed(rows, SHARD_ROWS, "shards")
-    blocks = _packed(queries, BLOCK_ROWS, "blocks").select("dim", F.col("part").alias("block"), F.col("ids").alias("qids"), F.col("x").alias("q"))
+    shards = _packed(rows, SHARD_ROWS, "shards", True)
+    blocks = _packed(queries, BLOCK_ROWS, "blocks", False).withColumnRenamed("part", "block")
     of = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     n_shards = shards.groupBy("dim").agg(F.count("*").alias("n"))
     most = n_shards.agg(F.max("n")).first()[0] or 0
@@ -197,7 +230,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             met = met.join(kth.select("dim", "block", F.col("x.vec_id").alias("kq"), F.col("x.score").alias("ks")), ["dim", "block"], "left")
         else:
             met = met.withColumn("kq", F.expr("cast(null as array<long>)")).withColumn("ks", F.expr("cast(null as array<long>)"))
-        got = arrow(shards.join(met, ["dim", "part"]).repartition(to, "dim", "part", "block"), _search(k), "query_id long, vec_id long, score long")
+        met = pin(met.withColumn("round", F.expr(f"block div {ROUND}")), "met")
+        sent = shards.join(met.select("dim", "part", "round").distinct(), ["dim", "part"]).withColumn("block", F.lit(-1).cast("long"))
+        both = met.unionByName(sent, allowMissingColumns=True).repartition(to, "dim", "part", "round").sortWithinPartitions("dim", "part", "round", "block")
+        got = arrow(both, _search(k), "query_id long, vec_id long, score long")
         if best is not None:
             got = got.unionByName(best.drop("rank"))
         best = pin(got.withColumn("rank", F.row_number().over(of)).filter(F.col("rank") <= k), "best")
