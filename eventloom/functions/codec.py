@@ -107,8 +107,8 @@ def valid_usage(usage: Column) -> Column:
 _PACK_PA = pa.schema([("store", pa.string()), ("seq", pa.int64()), ("size", pa.int64()), ("segment", pa.int64()), ("offset", pa.int64())])
 
 
-def pack_segments(blobs: DataFrame, limit: int = SEGMENT_BYTES) -> DataFrame:
-    """(store, seq, size) with segment and offset: a blob goes behind the last one or opens a segment.
+def pack_segments(blobs: DataFrame, limit: int = SEGMENT_BYTES, start: tuple[int, int] = (0, 0)) -> DataFrame:
+    """(store, seq, size) with segment and offset: a blob goes behind the last one or opens a segment, from ``start`` on.
 
     Where a segment ends depends on all before, so each store is one ordered pass; it
     streams and keeps two numbers.  A blob larger than a segment has neither (rejected).
@@ -120,7 +120,7 @@ def pack_segments(blobs: DataFrame, limit: int = SEGMENT_BYTES) -> DataFrame:
             seg, off = [], []
             for s, size in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if s != store:
-                    store, segment, used = s, 0, 0
+                    store, (segment, used) = s, start
                 if size > limit:
                     seg.append(None)
                     off.append(None)

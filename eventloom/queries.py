@@ -11,7 +11,7 @@ from . import adapters as A
 from .functions import codec, ids
 from .operators import compaction, envelope, fork, gc, migrate, projection, sequence, validate
 from .plans.session_set import SessionSet, empty, materialize, shared_folder
-from .sources import archive
+from .sources import archive, pages
 
 _Q: dict[str, Callable] = {}
 _O: dict[str, str] = {}
@@ -423,6 +423,81 @@ def tree_page_count(spark, d):
     return checked.filter("x.error is null").agg(F.count("*").alias("pages"), F.sum(F.col("x.payload").cast("string").contains('"kind":"leaf"').cast("long")).alias("leaves"))
 
 
+def _saved_trees(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, roots) of every session's tree, with four children a page."""
+    saved = archive.tree_pages(A.entries(log), 4)
+    top = saved.select("page_id", F.split("page_id", "_").alias("x")).select("page_id", F.col("x")[1].alias("session_id"), F.col("x")[2].cast("int").alias("level"))
+    return saved, materialize(top.groupBy("session_id").agg(F.max_by("page_id", "level").alias("page_id")))
+
+
+def _torn(saved: DataFrame) -> DataFrame:
+    """Without the first leaf of every fifth user."""
+    user = F.regexp_extract("page_id", "^page_u([0-9]+)_0_0$", 1).try_cast("long")
+    return saved.filter(~(user % 5).eqNullSafe(F.lit(0)))
+
+
+@query(_E + "SELECT session_id, rank AS order_, event_id, blob_id FROM e WHERE user_id % 5 <> 0")
+def tree_pages_load(spark, d):
+    """Trees saved as pages and loaded again; every fifth user's tree has lost its first leaf."""
+    log = A.event_log(spark, d)
+    saved, roots = _saved_trees(log)
+    got, _ = pages.load_trees(_torn(saved), roots, 4)
+    return got.select("session_id", F.col("order").cast("long").alias("order_"), "event_id", "blob_id")
+
+
+@query(_E + "SELECT session_id, 'page-missing' AS rule, 'page_' || session_id || '_0_0' AS subject FROM e WHERE user_id % 5 = 0 GROUP BY session_id")
+def tree_page_faults(spark, d):
+    saved, roots = _saved_trees(A.event_log(spark, d))
+    _, bad = pages.load_trees(_torn(saved), roots, 4)
+    return bad
+
+
+@query(_E + "SELECT session_id, blob_id, 'event-' || n AS payload FROM e WHERE user_id % 10 <> 0")
+def blob_chain_load(spark, d):
+    """One delta page an event; every tenth user's chain runs in a circle."""
+    log = A.event_log(spark, d)
+    prev = log.select("session_id", (F.col("rank") + 1).alias("rank"), F.col("n").alias("p"))
+    rows = log.join(prev, ["session_id", "rank"], "left").join(log.groupBy("session_id").agg(F.max("n").alias("head")), "session_id")
+    page = lambda n: F.concat(F.lit("page_"), n.cast("string"))
+    to = F.when(F.col("p").isNotNull(), F.col("p")).when(F.col("user_id") % 10 == 0, F.col("head"))
+    body = F.create_map("blob_id", F.struct(F.base64(F.concat(F.lit("event-"), F.col("n").cast("string")).cast("binary")).alias("base64")))
+    doc = F.to_json(F.struct(F.lit("blob-appends").alias("kind"), body.alias("blobs"), page(to).alias("prev")))
+    saved = rows.select(page(F.col("n")).alias("page_id"), doc.cast("binary").alias("payload"))
+    got, _ = pages.load_chains(saved, rows.select("session_id", page(F.col("head")).alias("page_id")).distinct())
+    return got.select("session_id", "blob_id", F.col("payload").cast("string").alias("payload"))
+
+
+def _store(kind, spark):
+    import uuid
+
+    return kind(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex[:12]}")
+
+
+def _events(log: DataFrame) -> DataFrame:
+    return log.select(F.col("n").alias("seq"), F.concat(F.lit("event-"), F.col("n").cast("string")).cast("binary").alias("payload"))
+
+
+@query(_E + """, p AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i FROM e)
+SELECT 'page_' || i AS page_id, 'event-' || n AS payload FROM p WHERE i % 3 = 0
+UNION ALL SELECT 'page_' || (row_number() OVER (ORDER BY n) - 1 + (SELECT count(*) FROM e)), 'event-' || n FROM e WHERE user_id % 2 = 0""")
+def page_store_retain(spark, d):
+    """A page an event; two thirds are dropped, and pages written later get numbers of their own."""
+    log, store = A.event_log(spark, d), _store(pages.PageStore, spark)
+    store.write(_events(log))
+    store.retain(store.page_ids().filter(F.substring("page_id", 6, 20).cast("long") % 3 == 0))
+    store.write(_events(log.filter("user_id % 2 = 0")))
+    return store.read()[0].select("page_id", F.col("payload").cast("string").alias("payload"))
+
+
+@query(_E + "SELECT 'blob_seg_' || i AS blob_id, 0::BIGINT AS segment, (sum(length('event-' || n)) OVER (ORDER BY n) - length('event-' || n))::BIGINT AS offset_, 'event-' || n AS payload FROM (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i FROM e) QUALIFY i % 4 <> 0")
+def blob_store_read(spark, d):
+    """A blob an event, of which every fourth is deleted; offsets still count them."""
+    log, store = A.event_log(spark, d), _store(pages.BlobStore, spark)
+    put = store.write(_events(log))
+    store.delete(put.filter(F.substring("blob_id", 10, 20).cast("long") % 4 == 0))
+    return store.blobs().select("blob_id", "segment", F.col("offset").alias("offset_"), F.col("payload").cast("string").alias("payload"))
+
+
 # -- projections, streams, archives --------------------------------------------------
 @query(_E + "SELECT session_id, sum(k)::BIGINT AS value, arg_max(event_id, rank) AS watermark_event_id FROM e GROUP BY session_id")
 def projection_fold(spark, d):

@@ -71,9 +71,10 @@ def tree_pages(entries: DataFrame, fanout: int = 64) -> DataFrame:
     leaves = rows.groupBy("session_id", "page_no").agg(F.array_sort(F.collect_list(F.struct(F.col("order"), F.col("event_id").alias("eventId"), F.col("blob_id").alias("blobId")))).alias("entries"))
     leaves = leaves.select(name(F.lit(0), F.col("page_no")).alias("page_id"), "page_no", F.lit("leaf").alias("kind"), F.to_json(F.struct(F.lit("leaf").alias("kind"), "entries")).alias("doc"))
     top = layout.filter("level > 0").alias("p").join(layout.alias("c"), (F.col("p.session_id") == F.col("c.session_id")) & (F.col("c.level") == F.col("p.level") - 1) & F.col("c.first_rank").between(F.col("p.first_rank"), F.col("p.last_rank")))
-    top = top.select(F.col("p.session_id").alias("session_id"), F.col("p.level").alias("level"), F.col("p.page_no").alias("page_no"), F.col("c.page_no").alias("child"))
-    inner = top.groupBy("session_id", "level", "page_no").agg(F.array_sort(F.collect_list("child")).alias("kids"))
-    inner = inner.select(name(F.col("level"), F.col("page_no")).alias("page_id"), "page_no", F.lit("internal").alias("kind"), F.to_json(F.struct(F.lit("internal").alias("kind"), F.transform("kids", lambda k: name(F.col("level") - 1, k)).alias("children"))).alias("doc"))
+    top = top.select(F.col("p.session_id").alias("session_id"), F.col("p.level").alias("level"), F.col("p.page_no").alias("page_no"), F.struct(F.col("c.page_no").alias("child"), F.col("c.first_rank").alias("rank")).alias("c"))
+    top = top.join(rows.select("session_id", F.col("rank").alias("_r"), "order"), (top["session_id"] == rows["session_id"]) & (F.col("c.rank") == F.col("_r"))).select(top["*"], "order")
+    inner = top.groupBy("session_id", "level", "page_no").agg(F.array_sort(F.collect_list(F.struct("c.child", "order"))).alias("kids"))
+    inner = inner.select(name(F.col("level"), F.col("page_no")).alias("page_id"), "page_no", F.lit("internal").alias("kind"), F.to_json(F.struct(F.lit("internal").alias("kind"), F.transform(F.slice("kids", 2, F.size("kids")), lambda k: k["order"]).alias("keys"), F.transform("kids", lambda k: name(F.col("level") - 1, k["child"])).alias("children"))).alias("doc"))
     rows = leaves.union(inner)
     return rows.select("page_id", "page_no", "kind", F.col("doc").cast("binary").alias("payload"), fnv1a_sql(F.concat(F.col("page_id"), F.col("doc")).cast("binary")).alias("checksum"))
 

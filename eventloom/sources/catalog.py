@@ -25,6 +25,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,6 +172,29 @@ class Catalog:
             self._fs().delete(self._path("data", n), True)
         return gone
 
+    def faults(self) -> DataFrame:
+        """(subject, rule) of what a store that is opened again must not have.
+
+        Foreign names and gaps among the pointers, a manifest that can't be read, parts that
+        are gone, a session twice in one part, and a revision that was used before.  Names
+        with an underscore are what interrupted commits leave.
+        """
+        names = [n for n in self._names("refs") if not n.startswith(("_", "."))]
+        head, found = self.head(), [(n, "foreign-file") for n in names if not n.isdigit()]
+        found += [(str(n), "pointer-missing") for n in sorted({*range(1, head + 1)} - {int(n) for n in names if n.isdigit()})]
+        parts: list[dict] = []
+        try:
+            parts = self._manifest(head)
+            parts = [p | {"tables": list(p["tables"]), "no": int(p["no"])} for p in parts]
+        except (ValueError, KeyError, TypeError, Py4JJavaError):  # the last: a file system that finds a bad checksum
+            found.append((str(head), "manifest-unreadable"))
+        gone = [p for p in parts if not all(self._fs().exists(self._path("data", p["name"], t)) for t in p["tables"])]
+        found += [(p["name"], "part-missing") for p in gone]
+        rows = self._read("sessions", [p for p in parts if p not in gone])
+        twice = rows.groupBy("session_id", "_part").count().filter("count > 1").select(F.col("session_id").alias("subject"), F.lit("duplicate-record").alias("rule"))
+        again = rows.groupBy("session_id", "revision").agg(F.count_distinct("_part").alias("n")).filter("n > 1").select("session_id", F.lit("revision-reused"))
+        return self.spark.createDataFrame(found, "subject string, rule string").union(twice.distinct()).union(again)
+
     # -- commits ---------------------------------------------------------------------
     def register(self, new: SessionSet, strict: bool = True) -> DataFrame:
         """Create sessions; returns ids that exist already (nothing is written for those)."""
@@ -255,8 +279,14 @@ class SessionRepository:
         return self.catalog.register(new)
 
     def load(self, session_id: str | None = None) -> SessionSet:
+        """All sessions, or one, which is validated as a whole."""
         s = self.catalog.load()
-        return s if session_id is None else SessionSet(**{t: f.filter(F.col("session_id") == session_id) for t, f in s.frames().items()})
+        if session_id is None:
+            return s
+        one = SessionSet(**{t: f.filter(F.col("session_id") == session_id) for t, f in s.frames().items()})
+        if first := validate.first_violation(validate.violations(one)).limit(1).collect():
+            raise InvalidSessions(f"{session_id}: {first[0].rule} ({first[0].subject})")
+        return one
 
     def append(self, events: DataFrame) -> DataFrame:
         """Append (session_id, seq, payload) to their sessions, in order of seq, in one commit; returns unknown ids.
