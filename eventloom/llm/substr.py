@@ -1,6 +1,7 @@
-"""Substring dedup by Relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring dedup against indexed reference blocks, in place of a Relative Lempel-Ziv parse.
 
-The reference is the corpus itself in doc_id order, cut into content-defined blocks:
+No greedy longest match is sought: factors are read off window hits, which the index gives
+by grouping on keys.  The reference is the corpus itself in doc_id order, cut into blocks:
 the 50-word windows whose least 10-word hash is the same anchor and that stand in one
 row form a block.  Equal windows have equal anchors, so a window can only repeat in
 blocks of its own anchor, and every window belongs to exactly one block.
