@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,7 @@ class WordEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.ids: dict[str, bytes] = {}
+        self.known, self.starts, self.lens, self.flat = pa.array([""]), np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32)
         self.most = most
         self.pieces = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
 
@@ -88,6 +90,33 @@ class WordEncoder:
         return [ids[a] + ids[b] if b else ids[a] for a, b in parts]
 
 
+    def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids one after the other); as ``__call__``, by columns."""
+        latin = pc.and_not(pc.match_substring_regex(words, r"\A[\x{00}-\x{FF}]*\z"), pc.match_substring(words, "<|"))
+        base = pc.if_else(latin, pc.utf8_lower(words), words)
+        cut = pc.and_(latin, pc.match_substring_regex(base, r"\A[^<]*[a-z\x{AA}\x{B5}\x{BA}\x{DF}-\x{F6}\x{F8}-\x{FF}][.,]\z"))
+        mark = pc.if_else(cut, pc.utf8_slice_codeunits(base, -1), "")
+        parts = pa.concat_arrays([pc.if_else(cut, pc.utf8_slice_codeunits(base, 0, -1), base), mark])
+        if len(self.known) > self.most:
+            self.known, self.starts, self.lens, self.flat = self.known[:1], self.starts[:1], self.lens[:1], self.flat[:0]
+        at = pc.index_in(parts, self.known)
+        lost = parts.filter(at.is_null())
+        new = pc.unique(lost)
+        at = np.array(at.fill_null(-1), np.int64)
+        at[at < 0] = len(self.known) + np.asarray(pc.index_in(lost, new))
+        step = min(50_000, self.most // 12)  # encodings of the library are large
+        lens, flat = [self.lens], [self.flat]
+        for i in range(0, len(new), step):
+            ids = [e.ids for e in self.tok.encode_batch_fast(new.slice(i, step).to_pylist(), add_special_tokens=False)]
+            lens.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+        self.known = pa.concat_arrays([self.known, new])
+        self.lens, self.flat = np.concatenate(lens), np.concatenate(flat)
+        self.starts = np.cumsum(self.lens) - self.lens
+        at = at.reshape(2, -1).T.ravel()
+        return self.lens[at].reshape(-1, 2).sum(1), spread(at, self.starts, self.lens, self.flat)
+
+
 def encoder(path: str, most: int = CACHE_WORDS) -> WordEncoder:
     if path not in _held:
         _held.clear()
@@ -124,9 +153,7 @@ def spread(idx: np.ndarray, starts: np.ndarray, lens: np.ndarray, flat: np.ndarr
 def encode_texts(texts: pa.Array, enc: WordEncoder) -> tuple[np.ndarray, np.ndarray]:
     """(ids per text, all ids one after the other)."""
     counts, idx, words = split_words(texts)
-    ids = enc(words.to_pylist())
-    lens = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-    flat = np.frombuffer(b"".join(ids), "<u4")
+    lens, flat = enc.table(words)
     starts = np.cumsum(lens) - lens
     out = spread(idx, starts, lens, flat)
     sums = np.concatenate([[0], np.cumsum(lens[idx])]) if len(idx) else np.zeros(1, np.int64)

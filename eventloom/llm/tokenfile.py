@@ -39,7 +39,7 @@ WIDTH_PERCENT = 90
 RECORD_IDS = 1 << 20
 END_ID = 1
 #: Words that a worker keeps the ids of, at most: it encodes them in passing.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 SCHEMA = "shard int, record int, first long, n_ids long, doc_ids binary, doc_lens binary, block_starts binary, payload binary"
 _SCHEMA_PA = pa.schema([("shard", pa.int32()), ("record", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), *((x, pa.binary()) for x in ("doc_ids", "doc_lens", "block_starts", "payload"))])
 
