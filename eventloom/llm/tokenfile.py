@@ -64,7 +64,8 @@ def pack_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     m = full.reshape(blocks, BLOCK)
     low = m.min(1)
     rest = m - low[:, None]
-    width = _bits(np.sort(rest, 1)[:, -(-BLOCK * WIDTH_PERCENT // 100) - 1])
+    k = -(-BLOCK * WIDTH_PERCENT // 100) - 1
+    width = _bits(np.partition(rest, k, 1)[:, k])
     out: list[bytes] = [b""] * blocks
     for w in np.unique(width).tolist():
         mine = np.flatnonzero(width == w)
@@ -127,7 +128,7 @@ def _write(path: str):
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(row, _SCHEMA_PA, strict=True)], schema=_SCHEMA_PA)
 
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=8 << 20):
                 n, flat = encode_texts(part.column(1), enc)
                 ends = np.cumsum(n)
                 out = np.insert(flat, ends, END_ID)
