@@ -1,12 +1,14 @@
 """Each operator against a brute-force version, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from eventloom.llm import bpe, chat, common, decontam, langid, linededup, neardup, secrets, substr, tokenfile, topk
@@ -441,3 +443,14 @@ def test_pipeline(spark, texts, tmp_path):
     assert {r.doc_id for r in p.run(spark, str(tmp_path)).collect()} == kept[4]
     for name, stage in p.STAGES:  # empty input
         assert stage(spark, docs.filter("false"), str(tmp_path)).count() == 0, name
+
+
+def test_columnar_words_have_the_ids_of_the_library():
+    rnd = random.Random(3)
+    signs = [*"abzAZÀßöÿªµº÷×ĀŁжΣς<|>.,'’-_/\\09 \n\t\r İſK½²é", "<|", "THE", "don't", ".,", "...", "</s>"]
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 25))) for _ in range(5000)] + ["", None]
+    enc = bpe.WordEncoder(bpe.tokenizer_path(), most=600)
+    for part in (texts[:2000], texts[2000:], texts):  # the table fills up and is emptied
+        n, ids = bpe.encode_texts(pa.array(part), enc)
+        want = [e.ids for e in enc.tok.encode_batch([t or "" for t in part], add_special_tokens=False)]
+        assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
