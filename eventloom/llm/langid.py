@@ -138,8 +138,27 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array([w.astype("<i4").tobytes() for w, _ in f], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in f], pa.binary())], names=["lang", "h", "places", "counts"])
 
 
+def _fitted(idf: np.ndarray):
+    """Fits the weights to all rows (lang, h, places, counts) of a task; a row for each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            places, counts = ([np.frombuffer(x.as_buffer(), "<i4").astype(np.int64) for x in batch.column(i)] for i in (2, 3))
+            rows += zip(places, counts, batch.column(0).to_pylist(), strict=True)
+        if rows:
+            m = fit(rows, idf)
+            for k, lang in enumerate(m.labels):
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([m.weights[:, k].astype("<f8").tobytes()], pa.binary()), pa.array([m.temperature])], names=["lang", "weights", "temperature"])
+
+    return run
+
+
 def train(labelled: DataFrame) -> Model | None:
-    """A model from rows (doc_id, text, lang); rows without text or lang are passed over."""
+    """A model from rows (doc_id, text, lang); rows without text or lang are passed over.
+
+    One task gets the sample and fits the weights; the driver gets the model only.
+    """
     rows = labelled.filter("text is not null and lang is not null")
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -156,8 +175,9 @@ def train(labelled: DataFrame) -> Model | None:
     bounds = rows.sparkSession.createDataFrame(bounds, "lang string, bound long")
     some = rows.withColumn("h", F.xxhash64("doc_id")).join(F.broadcast(bounds), "lang").filter("h <= bound")
     some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("at") <= each)
-    got = arrow(some.select("doc_id", "text", "lang", "h"), _sampled, "lang string, h long, places binary, counts binary").orderBy("h").collect()
-    return fit([(np.frombuffer(r.places, "<i4").astype(np.int64), np.frombuffer(r.counts, "<i4").astype(np.int64), r.lang) for r in got], idf)
+    sample = arrow(some.select("doc_id", "text", "lang", "h"), _sampled, "lang string, h long, places binary, counts binary").repartition(1).sortWithinPartitions("h")
+    got = arrow(sample, _fitted(idf), "lang string, weights binary, temperature double").collect()
+    return Model([r.lang for r in got], idf, np.stack([np.frombuffer(r.weights, "<f8") for r in got], axis=1), got[0].temperature)
 
 
 def _predict(shared):

@@ -63,17 +63,18 @@ def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return pin(several.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), name)
 
 
-def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
-    """Round d: (doc_id, at, rank) of the runs of 2**d lines that occur twice at least."""
+def suffix_ranks(lines: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """Round d: (doc_id, at, rank) of the runs of 2**d lines that occur twice at least; all rounds, or the first ``most``."""
     rounds = [pin(lines.join(_ranked(lines, ["hi", "lo"], "lines"), ["hi", "lo"]).select("doc_id", "at", "rank"), "round0")]
-    while True:
+    while len(rounds) != most:
         step = 1 << (len(rounds) - 1)
         now = rounds[-1]
         pairs = now.withColumnRenamed("rank", "r1").join(now.select("doc_id", (F.col("at") - step).alias("at"), F.col("rank").alias("r2")), ["doc_id", "at"])
         nxt = pin(pairs.join(_ranked(pairs, ["r1", "r2"], "ranks"), ["r1", "r2"]).select("doc_id", "at", "rank"), f"round{len(rounds)}")
         if not nxt.limit(1).count():
-            return rounds
+            break
         rounds.append(nxt)
+    return rounds
 
 
 def repeated_runs(rounds: list[DataFrame]) -> DataFrame:
@@ -129,26 +130,33 @@ def _apply(min_lines: int, drop_emptied: bool):
     return run
 
 
-def marked(rows: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """doc_id, starts (of later copies of ``min_lines`` lines), longest (lines of the longest repeated run), for documents that have any."""
-    rounds = suffix_ranks(pin(arrow(rows, _lines, "doc_id long, at int, hi long, lo long"), "ids"))
-    longest = repeated_runs(rounds).groupBy("doc_id").agg(F.max("len").cast("long").alias("longest"))
+def marked(rows: DataFrame, min_lines: int = MIN_LINES, longest: bool = True) -> DataFrame:
+    """doc_id, starts (of later copies of ``min_lines`` lines), longest (lines of the longest repeated run), for documents that have any.
+
+    Without ``longest``, which is null then, the rounds end with the one that decides what goes.
+    """
+    rounds = suffix_ranks(pin(arrow(rows, _lines, "doc_id long, at int, hi long, lo long"), "ids"), None if longest else min_lines.bit_length())
     gone = pin(later_copies(rounds, min_lines), "gone")
-    starts = gone.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
-    out = pin(longest.join(starts, "doc_id", "left").select("doc_id", "starts", "longest"), "marked")
+    out = gone.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    if longest:
+        out = repeated_runs(rounds).groupBy("doc_id").agg(F.max("len").cast("long").alias("longest")).join(out, "doc_id", "left")
+    else:
+        out = out.withColumn("longest", F.lit(None).cast("long"))
+    out = pin(out.select("doc_id", "starts", "longest"), "marked")
     return F.broadcast(out) if out.count() + gone.count() <= BROADCAST_PLACES else out
 
 
-def without_copies(docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool = False) -> DataFrame:
-    """Documents, one row per doc_id, with later copies of lines taken out of text; n_lines, n_removed and longest_run come last.
+def without_copies(docs: DataFrame, min_lines: int = MIN_LINES, drop_emptied: bool = False, longest: bool = True) -> DataFrame:
+    """Documents, one row per doc_id, with later copies of lines taken out of text; n_lines, n_removed and, if asked for, longest_run come last.
 
     Other columns stay as they are, whatever their names.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)))
-    made = plain.join(marked(plain.select("doc_id", "text"), min_lines), "doc_id", "left").select("doc_id", "text", "starts", "longest", *plain.columns[2:])
+    made = plain.join(marked(plain.select("doc_id", "text"), min_lines, longest), "doc_id", "left").select("doc_id", "text", "starts", "longest", *plain.columns[2:])
     schema = StructType([*plain.schema.fields, *(StructField(x, LongType()) for x in ("n_lines", "n_removed", "longest_run"))])
-    return arrow(made, _apply(min_lines, drop_emptied), schema)
+    out = arrow(made, _apply(min_lines, drop_emptied), schema)
+    return out if longest else out.drop("longest_run")
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:

@@ -306,6 +306,45 @@ def test_language(spark):
     assert langid.identify(blank).first().lang_pred == "und"
 
 
+def test_the_sample_stays_out_of_the_driver(spark, monkeypatch):
+    import os
+
+    real, driver = langid.fit, os.getpid()
+
+    def apart(rows, idf):
+        assert os.getpid() != driver and len(rows) == 240
+        return real(rows, idf)
+
+    monkeypatch.setattr(langid, "fit", apart)
+    rows = [(i, f"{'abc' if i % 2 else 'xyz'} {i} some", "ab"[i % 2]) for i in range(240)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.labels == ["a", "b"] and model.weights.shape == (langid.DIM + 1, 2) and model.weights.flags.c_contiguous
+    order = {r.doc_id: r.h for r in spark.range(240).selectExpr("id as doc_id", "xxhash64(id) as h").collect()}
+    found = langid.features([t for _, t, _ in rows])
+    here = real([(*(x.astype(np.int64) for x in found[i]), rows[i][2]) for i in sorted(order, key=order.get)], model.idf)
+    assert np.array_equal(here.weights, model.weights) and here.temperature == model.temperature
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_lines_go_without_the_longest_runs(spark, texts, size, monkeypatch):
+    whole = {r.doc_id: r.text for r in linededup.without_copies(frame(spark, texts, False), size).collect()}
+
+    def unread(_):
+        raise AssertionError("runs that nobody asked for")
+
+    monkeypatch.setattr(linededup, "repeated_runs", unread)
+    out = linededup.without_copies(frame(spark, texts, False), size, longest=False)
+    assert "longest_run" not in out.columns and {r.doc_id: r.text for r in out.collect()} == whole
+
+
+def test_the_pipeline_looks_for_no_longest_runs(spark, texts, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(linededup, "repeated_runs", None)
+    docs = frame(spark, texts, False)
+    assert {r.doc_id for r in p.lines(spark, docs, str(tmp_path)).collect()} <= set(texts)
+
+
 def test_every_language_is_learned(spark):
     rng = np.random.default_rng(6)
     word = lambda x: "".join(chr(0x4E00 + 20 * x + k) for k in rng.integers(0, 20, 4))
